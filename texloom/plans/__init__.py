@@ -1,0 +1,3 @@
+"""Registered queries: each applies operators of the library to a driver table that stands in for its input."""
+
+from texloom.plans import codebooks, codes, ordering, scalars, statistics  # noqa: F401
