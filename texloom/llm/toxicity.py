@@ -49,11 +49,11 @@ class OrdinalTraining:
     sample_docs: int = 5000
     buckets: int = 1 << 18
     grades: int = 3
-    least_docs: int = 3
-    least_odds: float = 1.5
-    least_z: float = 3.0
+    least_docs: int = 2
+    least_odds: float = 1.0
+    least_z: float = 2.0
     marks_at: float = 2.5
-    rounds: int = 120
+    rounds: int = 300
     rate: float = 0.3
     ridge: float = 3e-4
 
@@ -114,7 +114,9 @@ def train_ordinal(texts: list[str], toxic: list[bool], how: OrdinalTraining) ->
     column = column[column >= 0]
     k = len(present) - 1
     beta, square = np.zeros(len(used)), np.full(len(used), 1e-6)
-    share = np.cumsum(np.bincount(grade) / len(grade))[:-1]
+    # toxic and other rows weigh the same in all, however many of each the sample has
+    weight = np.where(y, 0.5 / y.sum(), 0.5 / (~y).sum())
+    share = np.cumsum(np.bincount(grade, weight))[:-1]
     theta = np.log(share / (1 - share))
     theta_square = np.full(k, 1e-6)
     logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
@@ -125,8 +127,9 @@ def train_ordinal(texts: list[str], toxic: list[bool], how: OrdinalTraining) ->
         lower = np.where(grade > 0, logistic(theta[low] - s), 0.0)
         p = np.maximum(upper - lower, 1e-12)
         up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
-        slope = np.bincount(column, (up - down)[row], len(used)) / len(texts) + how.ridge * beta
-        bend = (np.bincount(low[grade > 0], down[grade > 0], k) - np.bincount(high[grade < k], up[grade < k], k)) / len(texts)
+        slope = np.bincount(column, (weight * (up - down))[row], len(used)) + how.ridge * beta
+        down, up = weight * down, weight * up
+        bend = np.bincount(low[grade > 0], down[grade > 0], k) - np.bincount(high[grade < k], up[grade < k], k)
         square += slope * slope
         theta_square += bend * bend
         beta -= how.rate * slope / np.sqrt(square)
@@ -155,7 +158,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     return train_ordinal([r[text_col] for r in found], [r["y"] for r in found], how)
 
 
-def grade_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list[str] | None = None, toxic_at: float = 0.4, only_clean: bool = False) -> DataFrame:
+def grade_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list[str] | None = None, toxic_at: float = 0.5, only_clean: bool = False) -> DataFrame:
     """Append FIELDS (toxic: p_toxic >= toxic_at), or keep only the rows that are not toxic."""
     fields = [*FIELDS, T.StructField("clean", T.BooleanType())] if only_clean else FIELDS
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
