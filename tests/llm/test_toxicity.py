@@ -14,7 +14,7 @@ def test_probabilities_sum_and_order():
 
 def test_severity_grows_with_marks():
     clean = [f"plain words number{i} about nothing at all row{i % 17}" for i in range(200)]
-    bad = ["plain words " + " ".join(f"vile{k}" for k in range(i % 6 + 1)) for i in range(120)]
+    bad = ["plain words " + " ".join(f"vile{'abcdef'[k]}" for k in range(i % 6 + 1)) for i in range(120)]
     model = train_ordinal(clean + bad, [False] * 200 + [True] * 120, OrdinalTraining())
     assert len(model.thresholds) >= 2 and (np.diff(model.thresholds) > 0).all()
 
