@@ -66,7 +66,7 @@ def paired_stats(a: Column, b: Column) -> list[Column]:
 def psnr(mse: Column, peak: float = 255.0) -> Column:
     """Peak signal-to-noise ratio in 0..100; 100 where nothing differs."""
     safe = F.when(mse > 0, mse)
-    return F.when(safe.isNull(), 100.0).otherwise(clamp(F.log10(F.lit(peak) / F.sqrt(safe)) * 20.0, 0.0, 100.0))
+    return F.coalesce(clamp(F.log10(F.lit(peak) / F.sqrt(safe)) * 20.0, 0.0, 100.0), F.lit(100.0))
 
 
 def compare_stats(d: Column) -> list[Column]:
@@ -101,7 +101,7 @@ def tails(df: DataFrame, keys: list[str], v: str, ties: list[str]) -> DataFrame:
 def average_psnr(p: Column, lossless: float = 99.0) -> Column:
     """Mean over squared errors: lossless rows add no error but count; within 0..100."""
     error = F.sum(F.when(p < lossless, F.pow(F.lit(10.0), p / -10.0)).otherwise(0.0)) / F.count(p)
-    return F.when(error > 0, clamp(F.log10(F.when(error > 0, error)) * -10.0, 0.0, 100.0)).otherwise(100.0)
+    return F.coalesce(clamp(F.log10(F.when(error > 0, error)) * -10.0, 0.0, 100.0), F.lit(100.0))
 
 
 def sum_of_squares_about_mean(v: Column) -> Column:
