@@ -1,24 +1,28 @@
 """Tree-structured vector quantization on DataFrames.
 
 The tree grows leaf by leaf: the leaf of largest squared error is split by the sign of the projection on its principal axis and
-refined by two means. The driver holds the tree (a few numbers a leaf); rows stay distributed, equal vectors are one row from
-the start, and a round is one aggregate over the rows of the split leaf.
+refined by two means. The driver holds the tree (a few numbers a leaf); rows stay distributed, and equal vectors are one row from
+the start. A round is one pass in which each task sends one row of partial sums; a row's leaf is found by walking the tree, so
+no column is rewritten and the plan does not grow.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 STEPS, LEAST_GAIN, LEAST_ERROR = 6, 0.00125, 1e-5
 
 
 @dataclass
 class Leaf:
-    """center, weight and squared error of a leaf; order: the split that made it."""
+    """center, weight and squared error of a leaf; order: the split that made it; parent: the leaf that was split."""
 
     center: np.ndarray
     weight: float
@@ -27,84 +31,103 @@ class Leaf:
     parent: int
 
 
-def _dot(v: Column, w: np.ndarray) -> Column:
-    return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in w]), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+#: A split: the leaf, the new leaf, normal and offset of the plane; at or beyond it rows go to the new leaf.
+Split = tuple[int, int, np.ndarray, float]
 
 
-def _moments(rows: DataFrame, size: int, group: Column | None = None) -> dict:
-    """Weight, sums and sum of squares of each group."""
-    v, w = F.col("v"), F.col("weight")
-    square = F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x)
-    aggregates = [F.sum(w).alias("w"), F.sum(w * square).alias("q"), F.count(F.lit(1)).alias("n"), *[F.sum(w * v[i]).alias(f"s{i}") for i in range(size)]]
-    found = rows.groupBy((F.lit(0) if group is None else group).alias("g")).agg(*aggregates).collect()
-    return {r["g"]: (float(r["w"]), np.array([r[f"s{i}"] for i in range(size)], float), float(r["q"]), r["n"]) for r in found}
+def leaf_of(vectors: np.ndarray, splits: list[Split]) -> np.ndarray:
+    """The leaf of each vector: splits in their order."""
+    code = np.zeros(len(vectors), np.int64)
+    for old, new, normal, offset in splits:
+        code[(code == old) & (vectors @ normal >= offset)] = new
+    return code
 
 
-def _error(moment: tuple) -> float:
-    w, s, q, _ = moment
-    return max(0.0, q - float(s @ s) / w)
+def _vectors(column: pa.Array) -> np.ndarray:
+    return np.asarray(column.flatten(), np.float64).reshape(len(column), -1)
 
 
-def _axis(rows: DataFrame, mean: np.ndarray) -> np.ndarray:
-    """Principal axis by power iteration on rows: each step is one aggregate, no covariance matrix is built."""
-    size = len(mean)
-    axis = np.ones(size) / np.sqrt(size)
-    offset = float(mean @ axis)
-    v, w = F.col("v"), F.col("weight")
-    for _ in range(4):
-        p = _dot(v, axis) - float(offset)
-        sums = rows.agg(*[F.sum(w * p * (v[i] - float(mean[i]))).alias(f"s{i}") for i in range(size)]).first()
-        new = np.array([sums[i] or 0.0 for i in range(size)], float)
-        if np.linalg.norm(new) < 1e-12:
-            break
-        axis = new / np.linalg.norm(new)
-        offset = float(mean @ axis)
-    return axis
+def _sums(data: DataFrame, splits: list[Split], leaf: int, plane: tuple[np.ndarray, float] | None, square: bool) -> list:
+    """Weight, sums, squares and (square) products of one leaf's rows, apart by side of a plane: two entries."""
+    schema = T.StructType([T.StructField("side", T.IntegerType()), T.StructField("sums", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            v, w = _vectors(batch.column(0)), np.asarray(batch.column(1))
+            own = leaf_of(v, splits) == leaf
+            v, w = v[own], w[own]
+            side = (v @ plane[0] >= plane[1]).astype(int) if plane else np.zeros(len(v), int)
+            for s in np.unique(side):
+                x, y = v[side == s], w[side == s]
+                parts = [[y.sum(), (y * (x * x).sum(axis=1)).sum()], y @ x] + ([((x * y[:, None]).T @ x).ravel()] if square else [])
+                total[int(s)] = total.get(int(s), 0) + np.concatenate(parts)
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array([*total], pa.int32()), pa.array([x.tolist() for x in total.values()], pa.list_(pa.float64()))], names=schema.names)
+
+    found: list = [None, None]
+    for side, sums in data.select("v", "weight").mapInArrow(run, schema).collect():
+        found[side] = np.array(sums) if found[side] is None else found[side] + np.array(sums)
+    return found
+
+
+def _center_error(sums: np.ndarray, size: int) -> tuple[np.ndarray, float, float]:
+    w, q, s = sums[0], sums[1], sums[2 : 2 + size]
+    return s / w, float(w), max(0.0, float(q - s @ s / w))
 
 
 def quantize(rows: DataFrame, vector: str, weight: str, codes: int) -> tuple[DataFrame, list[Leaf]]:
     """(v, weight, members, code) for each distinct vector, and the codebook. Truncating the codebook to leaves with order < k
     and their parents gives the coarser ones. Ties go to the second child; a leaf of one vector is not split."""
-    data = rows.groupBy(F.transform(vector, lambda x: x.cast("double")).alias("v")).agg(F.sum(weight).cast("double").alias("weight"), F.count(F.lit(1)).alias("members"))
-    data = data.withColumn("code", F.lit(0)).cache()
+    data = rows.groupBy(F.transform(vector, lambda x: x.cast("double")).alias("v")).agg(F.sum(weight).cast("double").alias("weight"), F.count(F.lit(1)).alias("members")).cache()
     head = data.select(F.size("v").alias("n")).first()
-    if head is None:
-        return data, []
-    size = head["n"]
-    root = _moments(data, size)[0]
-    leaves = [Leaf(root[1] / root[0], root[0], _error(root), 0, -1)]
-    singles: set[int] = set()
-    while len(leaves) < codes:
-        open_ = [i for i in range(len(leaves)) if i not in singles and leaves[i].error > LEAST_ERROR]
-        if not open_:
-            break
-        at = max(open_, key=lambda i: (leaves[i].error, -i))
-        own, mean = data.where(F.col("code") == at), leaves[at].center
-        axis = _axis(own, mean)
-        side = _dot(F.col("v"), axis) - float(mean @ axis) >= 0
-        before, split = None, None
-        for _ in range(STEPS):
-            found = _moments(own, size, side)
-            if len(found) < 2:
-                break
-            split = found
-            now = _error(found[False]) + _error(found[True])
-            if before is not None and (before - now) < LEAST_GAIN * before:
+    splits: list[Split] = []
+    leaves: list[Leaf] = []
+    if head is not None:
+        size = head["n"]
+        center, total, error = _center_error(_sums(data, [], 0, None, False)[0], size)
+        leaves = [Leaf(center, total, error, 0, -1)]
+        singles: set[int] = set()
+        while len(leaves) < codes:
+            open_ = [i for i in range(len(leaves)) if i not in singles and leaves[i].error > LEAST_ERROR]
+            if not open_:
                 break
-            before = now
-            a, b = (found[k][1] / found[k][0] for k in (False, True))
-            # nearer to b, or as near
-            rule = (b - a, float(b @ b - a @ a) / 2)
-            side = _dot(F.col("v"), rule[0]) - rule[1] >= 0
-        final = _moments(own, size, side)
-        if len(final) < 2:
-            singles.add(at)
-            continue
-        order = len(leaves)
-        a, b = final[False], final[True]
-        leaves[at] = Leaf(a[1] / a[0], a[0], _error(a), leaves[at].order, leaves[at].parent)
-        leaves.append(Leaf(b[1] / b[0], b[0], _error(b), order, at))
-        data = data.withColumn("code", F.when((F.col("code") == at) & side, order).otherwise(F.col("code")))
-        if order % 8 == 0:
-            data = data.cache()
-    return data, leaves
+            at = max(open_, key=lambda i: (leaves[i].error, -i))
+            made = _split(data, splits, at, leaves[at], size)
+            if made is None:
+                singles.add(at)
+                continue
+            plane, (a, b) = made
+            order = len(leaves)
+            splits.append((at, order, *plane))
+            leaves[at] = Leaf(*a, leaves[at].order, leaves[at].parent)
+            leaves.append(Leaf(*b, order, at))
+    schema = T.StructType([*data.schema.fields, T.StructField("code", T.IntegerType())])
+
+    def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf_of(_vectors(batch.column(0)), splits).astype(np.int32))], names=schema.names)
+
+    return data.mapInArrow(label, schema), leaves
+
+
+def _split(data: DataFrame, splits: list[Split], at: int, leaf: Leaf, size: int):
+    """The plane that splits a leaf, and both sides' (center, weight, error); None if all rows are on one side."""
+    sums = _sums(data, splits, at, None, True)[0]
+    product = sums[2 + size :].reshape(size, size) / sums[0] - np.outer(leaf.center, leaf.center)
+    axis = np.linalg.eigh(product)[1][:, -1]
+    axis = axis if axis[np.abs(axis).argmax()] > 0 else -axis
+    plane, before, best = (axis, float(axis @ leaf.center)), None, None
+    for _ in range(STEPS):
+        low, high = _sums(data, splits, at, plane, False)
+        if low is None or high is None:
+            break
+        a, b = _center_error(low, size), _center_error(high, size)
+        best = plane, (a, b)
+        now = a[2] + b[2]
+        if before is not None and before - now < LEAST_GAIN * before:
+            break
+        before = now
+        # rows nearer to b's center, or as near
+        plane = (b[0] - a[0], float(b[0] @ b[0] - a[0] @ a[0]) / 2)
+    return best
