@@ -33,8 +33,12 @@ ship()
 
 
 def worker_cache(name: str) -> dict:
-    """A dictionary that lives as long as the Python worker, shared by its tasks."""
-    return sys.__dict__.setdefault("_texloom_worker", {}).setdefault(name, {})
+    """A dictionary that lives as long as the Python worker, shared by its tasks. A worker keeps one operator's: asking for
+    another's drops it, so stages of a pipeline don't add up their caches."""
+    every = sys.__dict__.setdefault("_texloom_worker", {})
+    for other in [k for k in every if k not in (name, "driver")]:
+        del every[other]
+    return every.setdefault(name, {})
 
 
 def limit_batches(spark: SparkSession) -> None:
@@ -131,6 +135,26 @@ def distinct_ids(words: list) -> tuple[np.ndarray, list]:
     return ids, list(seen)
 
 
+class TailLengths(dict):
+    """Last three symbols of a stretch of text -> the lengths of the vocabulary's strings that can end there, longest first."""
+
+    def __init__(self, vocabulary):
+        super().__init__()
+        self.short = {p for p in vocabulary if len(p) < 3}
+        by_tail: dict = {}
+        for p in vocabulary:
+            if len(p) >= 3:
+                by_tail.setdefault(p[-3:], set()).add(len(p))
+        self.by_tail = by_tail
+
+    def __missing__(self, tail) -> tuple[int, ...]:
+        lengths = set(self.by_tail.get(tail, ())) | {n for n in (1, 2) if len(tail) >= n and tail[-n:] in self.short}
+        found = tuple(sorted(lengths, reverse=True))
+        if len(self) < 1 << 20:
+            self[tail] = found
+        return found
+
+
 def starts_of(lengths: np.ndarray) -> np.ndarray:
     out = np.zeros(len(lengths) + 1, np.int64)
     np.cumsum(lengths, out=out[1:])

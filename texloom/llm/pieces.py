@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from texloom.llm.common import map_text, worker_cache
+from texloom.llm.common import TailLengths, map_text, worker_cache
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-CACHE_WORDS, CACHED_LENGTH = 800_000, 64
+CACHE_WORDS, CACHE_PREFIXES, CACHED_LENGTH = 700_000, 1_200_000, 64
 
 FIELDS = [
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
@@ -93,12 +93,15 @@ class PieceModel:
             elif p.type == UNKNOWN:
                 self.text[i] = " ⁇ ".encode()
         self.string = {i: p for p, (i, _) in self.pieces.items()}
-        self.reach: dict[str, int] = {}
-        for p in self.pieces:
-            self.reach[p[-2:]] = max(self.reach.get(p[-2:], 1), len(p))
+        self.ids = {p: i for p, (i, _) in self.pieces.items()}
+        self.score = {i: x for i, x in self.pieces.values()}
+        self.tails = TailLengths(self.ids)
         #: whether no piece spans the boundary between a word and the space after it
         self.breaks = not any(a != SPACE and b == SPACE for p in normal for a, b in zip(p, p[1:], strict=False))
         self._chunk = self._chunk_pattern(normal)
+        #: characters of each piece; one for a character outside the vocabulary (-1)
+        self.width = {i: len(p) for p, i in self.ids.items()} | {-1: 1}
+        self._prefixes: dict[str, int] = {}
         self._pairs: dict[int, bool] = {}
         self._runs: dict[int, list[int]] = {}
         self.chunks = _Chunks(self)
@@ -141,52 +144,76 @@ class PieceModel:
         return [self.bytes[b] for b in char.encode()] if self.bytes else [self.unknown]
 
     def viterbi(self, text: str):
-        """Yield the ids of a text of any length, those of a committed boundary at a time."""
-        pieces, pairs, reach, unigram = self.pieces, self._pairs, self.reach, self.kind == UNIGRAM
-        window = max(2 * self.longest, 32)
+        """Yield the ids of a text of any length, piece by piece; those of a committed boundary come at once.
+
+        Short texts of a merge model begin with what is known of their prefixes from other texts.
+        """
+        ids, pairs, tails, unigram = self.ids, self._pairs, self.tails, self.kind == UNIGRAM
         # node k stands for boundary base + k; token -1: outside the vocabulary
         start, token, score = [0], [-1], [0.0]
-        base, n = 0, len(text)
-        for j in range(1, n + 1):
-            longest = self.longest if unigram else reach.get(text[j - 2 : j], 1) if j > 1 else 1
-            best, found, value = -1, -1, 0.0
-            for i in range(max(base, j - longest), j):
-                if (known := pieces.get(text[i:j])) is None:
+        base, n, j = 0, len(text), 0
+        known_prefixes = self._prefixes if not unigram and n <= CACHED_LENGTH else None
+        if known_prefixes is not None:
+            while j < n and (known := known_prefixes.get(text[: j + 1])) is not None:
+                j += 1
+                token.append(known)
+                start.append(j - self.width[known])
+        while j < n:
+            j += 1
+            best, found, value = j - 1, -1, 0.0
+            for length in tails[text[j - 3 : j] if j > 3 else text[:j]]:
+                i = j - length
+                if i < base or (known := ids.get(text[i:j])) is None:
                     continue
                 k = i - base
                 if unigram:
-                    if best < 0 or score[k] + known[1] > value:
-                        best, found, value = i, known[0], score[k] + known[1]
+                    if found < 0 or score[k] + self.score[known] > value:
+                        best, found, value = i, known, score[k] + self.score[known]
                 else:
-                    if (good := pairs.get(token[k] << 20 | known[0])) is None:
-                        good = self._pair(token[k], known[0])
+                    if (good := pairs.get(token[k] << 20 | known)) is None:
+                        good = self._pair(token[k], known)
                     if good:
-                        best, found = i, known[0]
+                        best, found = i, known
                         break
-            if best < 0:
-                best, value = j - 1, score[j - 1 - base] + self.unknown_score
             start.append(best)
             token.append(found)
-            score.append(value)
-            if j == n or len(start) > window and j % self.longest == 0:
-                lives = {j} if j == n else set(range(j - self.longest + 1, j + 1))
-                while len(lives) > 1:
-                    far = max(lives)
-                    lives.remove(far)
-                    lives.add(start[far - base])
-                common = lives.pop()
+            if unigram:
+                score.append(value if found >= 0 else score[j - 1 - base] + self.unknown_score)
+            if known_prefixes is not None:
+                if len(known_prefixes) >= CACHE_PREFIXES:
+                    known_prefixes.clear()
+                known_prefixes[text[:j]] = found
+            elif len(start) > 2 * self.longest + 16 and j % self.longest == 0:
+                common = self._meeting(start, base, j)
                 if common > base:
-                    out, at = [], common
-                    while at > base:
-                        k = at - base
-                        out.append([token[k]] if token[k] >= 0 else self._outside(text[at - 1]))
-                        at = start[k]
-                    for ids in reversed(out):
-                        yield ids
+                    yield from self._committed(text, start, token, base, common)
                     # the pair rule reads the committed piece; scores count from it
                     keep = common - base
                     start, token, score = start[keep:], token[keep:], [x - score[keep] for x in score[keep:]]
                     base = common
+        yield from self._committed(text, start, token, base, n)
+
+    def _meeting(self, start: list[int], base: int, j: int) -> int:
+        """The last boundary through which the backpointer paths of the last `longest` nodes all go."""
+        lives = set(range(j - self.longest + 1, j + 1))
+        while len(lives) > 1:
+            far = max(lives)
+            lives.remove(far)
+            lives.add(start[far - base])
+        return lives.pop()
+
+    def _committed(self, text: str, start: list[int], token: list[int], base: int, end: int) -> list[int]:
+        """Ids of the path from base to end."""
+        out: list[int] = []
+        while end > base:
+            k = end - base
+            if token[k] >= 0:
+                out.append(token[k])
+            else:
+                out += reversed(self._outside(text[end - 1]))
+            end = start[k]
+        out.reverse()
+        return out
 
     def _run(self, n: int) -> list[int]:
         """Ids of n spaces that no word takes."""
@@ -200,8 +227,8 @@ class PieceModel:
         """Ids of spaces (at least one) and the word after them, or of any text if the model breaks nowhere."""
         spaces = len(chunk) - len(chunk.lstrip(SPACE))
         if not self.runs or spaces < 2:
-            return [i for ids in self.viterbi(chunk) for i in ids]
-        word = [i for ids in self.viterbi(chunk[spaces - 1 :]) for i in ids]
+            return list(self.viterbi(chunk))
+        word = list(self.viterbi(chunk[spaces - 1 :]))
         lone = self.pieces.get(SPACE, (self.unknown, 0.0))[0]
         if spaces == len(chunk) or word[0] == lone:
             return self._run(spaces) + word[1:]
