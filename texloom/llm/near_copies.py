@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texloom.llm.common import distinct_ids, limit_batches, starts_of, text_bytes, written
+from texloom.llm.common import distinct_ids, limit_batches, starts_of, text_bytes, worker_cache, written
 from texloom.llm.graph import components
 
 NODE, BELOW = 64, 4.0
@@ -120,6 +120,7 @@ def _signatures(docs: DataFrame, id_col: str, text_col: str, forest: Forest) ->
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_cache("near_copies")
         for batch in batches:
             hashes, bounds = ngram_hashes([t or b"" for t in text_bytes(batch.column(2))], forest.words)
             found = min_hashes(hashes, bounds, forest.trees * depth + forest.sketch, forest.seed)
@@ -283,7 +284,8 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     members = written(sizes.join(blocks, "family"), "members")
     source = docs.select(F.col(f"`{id_col}`").alias("id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit("")))).alias("digest"), F.col(f"`{text_col}`").cast("string").alias("text"))
     chosen = members.where("first is not null").select("digest", F.col("first").alias("id"), "family", "blocks", "copies")
-    held = source.join(chosen, ["digest", "id"])
+    # a merge join at every size: texts are dealt by digest, not sent a growing table
+    held = source.join(chosen.hint("merge"), ["digest", "id"])
     nameless = source.where("id is null").join(members.where("first is null").drop("first"), "digest").select(held.columns)
     held = held.unionByName(nameless).dropDuplicates(["digest"]) if _repeats(signed) else held.unionByName(nameless)
     own = F.pmod(F.xxhash64("digest"), F.col("blocks")).cast("int")
