@@ -210,3 +210,52 @@ def vector_quantizer(spark, sf_dir):
     data, leaves = vq.quantize(rows, "v", "w", 16)
     errors = spark.createDataFrame([(i, float(leaf.weight), float(leaf.error), leaf.order, leaf.parent) for i, leaf in enumerate(leaves)], "code int, weight double, error double, made_by int, parent int")
     return errors.join(data.groupBy("code").agg(F.sum("members").alias("members")), "code")
+
+
+@query("scalable_blocks")
+def scalable_blocks(spark, sf_dir):
+    """The benchmark texts' bytes as scalable blocks of 6 x 5: how many decode in low range, and their mean."""
+    from texloom.operators import astc
+
+    raw = F.col("text").cast("binary")
+    cut = F.transform(F.sequence(F.lit(0), F.expr("octet_length(text) div 16 - 1").cast("int")), lambda i: F.substring(raw, (i * 16 + 1).cast("int"), F.lit(16)))
+    blocks = table(spark, sf_dir, "benchmark").where("octet_length(text) >= 16").select("item_id", F.explode(cut).alias("block"))
+    rows = astc.decode_blocks(blocks, "block", 6, 5)
+    return rows.groupBy("item_id").agg(F.count("*").alias("blocks"), F.count("texels").alias("decoded"), F.avg(F.aggregate("texels", F.lit(0), lambda s, x: s + x) / 120.0).alias("mean"))
+
+
+@query(
+    "partition_hash",
+    """WITH t AS (SELECT i // 16 * 25 + 2048 AS seed, i % 4 * 2 AS x, i // 4 % 4 * 2 AS y FROM range(0, 640) t(i)), m AS (SELECT 4294967295 AS k),
+h1 AS (SELECT *, xor(seed, seed >> 15) AS v FROM t), h2 AS (SELECT seed, x, y, (v - (v << 17)) & k AS v FROM h1, m), h3 AS (SELECT seed, x, y, (v + (v << 7)) & k AS v FROM h2, m),
+h4 AS (SELECT seed, x, y, (v + (v << 4)) & k AS v FROM h3, m), h5 AS (SELECT seed, x, y, xor(v, v >> 5) AS v FROM h4), h6 AS (SELECT seed, x, y, (v + (v << 16)) & k AS v FROM h5, m),
+h7 AS (SELECT seed, x, y, xor(v, v >> 7) AS v FROM h6), h8 AS (SELECT seed, x, y, xor(v, v >> 3) AS v FROM h7), h9 AS (SELECT seed, x, y, xor(v, v << 6) & k AS v FROM h8, m), h AS (SELECT seed, x, y, xor(v, v >> 17) AS v FROM h9),
+s AS (SELECT *, CASE WHEN seed & 2 <> 0 THEN 4 ELSE 5 END AS a, 6 AS b, [((v >> n) & 15) * ((v >> n) & 15) FOR n IN [0, 4, 8, 12, 16, 20]] AS q FROM h),
+u AS (SELECT *, CASE WHEN seed & 1 <> 0 THEN a ELSE b END AS s1, CASE WHEN seed & 1 <> 0 THEN b ELSE a END AS s2 FROM s),
+c AS (SELECT seed, x, y, ((q[1] >> s1) * x + (q[2] >> s2) * y + (v >> 14)) & 63 AS p, ((q[3] >> s1) * x + (q[4] >> s2) * y + (v >> 10)) & 63 AS r, ((q[5] >> s1) * x + (q[6] >> s2) * y + (v >> 6)) & 63 AS t FROM u)
+SELECT seed - 2048 AS seed, x // 2 AS x, y // 2 AS y, (CASE WHEN p >= r AND p >= t THEN 0 WHEN r >= t THEN 1 ELSE 2 END)::INT AS part FROM c""",
+)
+def partition_hash(spark, sf_dir):
+    from texloom.operators import astc
+
+    rows = spark.range(640).select(F.expr("id div 16 * 25").alias("seed"), F.expr("id % 4").alias("x"), F.expr("id div 4 % 4").alias("y"))
+    return rows.withColumn("part", astc.partition_expression(F.col("seed"), F.col("x"), F.col("y"), 3, True))
+
+
+@query("window_reuse")
+def window_reuse(spark, sf_dir):
+    """Embeddings as block vectors in id order: own code, or that of one of the 64 blocks before."""
+    from texloom.operators import reuse
+
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    return reuse.window_reuse(rows, "vec_id", "v", 64, 0.02, 128, 16)
+
+
+@query("neighbor_reuse")
+def neighbor_reuse(spark, sf_dir):
+    """Orders as a grid of blocks: those that take a neighbour's vector at 30 dB."""
+    from texloom.operators import reuse
+    from texloom.plans.carriers import blocks
+
+    rows = blocks(spark, sf_dir).select("bx", "by", F.array(F.col("q").cast("double"), F.col("endpoint").cast("double") * 10).alias("v"))
+    return reuse.neighbor_reuse(rows, "by", "bx", "v", 30.0, 40.0)
