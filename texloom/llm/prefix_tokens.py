@@ -26,14 +26,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from texloom.llm.common import map_text, worker_cache
+from texloom.llm.common import TailLengths, map_text, worker_cache
 
 #: The vocabulary's pattern of words (with \\s spelled as the library reads it).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 SPACE_RUN = r"\p{White_Space}{2,}(?=\P{White_Space})"
 #: Contractions of three characters; two of them form two words.
 LONG_CONTRACTIONS = ("'re", "'ve", "'ll")
-CACHE_WORDS, CACHED_LENGTH = 700_000, 64
+CACHE_WORDS, CACHE_PREFIXES, CACHED_LENGTH = 700_000, 1_200_000, 64
 
 FIELDS = [
     T.StructField("n_bytes", T.LongType()),
@@ -79,15 +79,12 @@ class PrefixCounter:
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(to_bytes(a), to_bytes(b)): i for i, (a, b) in enumerate(pairs)}
         self.token = {i: b for b, i in self.ids.items()}
-        #: the longest token by its last two bytes: no longer one can end there
-        self.reach: dict[bytes, int] = {}
-        for b in self.ids:
-            if len(b) > 1:
-                self.reach[b[-2:]] = max(self.reach.get(b[-2:], 1), len(b))
+        self.tails = TailLengths(self.ids)
         self.special = sorted((t["content"] for t in spec.get("added_tokens", []) if t.get("special")), key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self._word = regex.compile(WORD_PATTERN)
         self._run = regex.compile(SPACE_RUN)
+        self._prefixes: dict[bytes, int] = {}
         self._pairs: dict[int, bool] = {}
         self._whole: dict[int, bool] = {}
         self.words = _Words(self)
@@ -127,22 +124,36 @@ class PrefixCounter:
         return found
 
     def byte_counts(self, raw: bytes) -> list[int]:
-        """Token counts of all prefixes of one word's bytes, the empty one included."""
-        n = len(raw)
+        """Token counts of all prefixes of one word's bytes, the empty one included. Short words begin with what is known of
+        their prefixes from other words."""
+        n, j = len(raw), 0
         last, count = [-1] * (n + 1), [0] * (n + 1)
-        ids, pairs, reach = self.ids, self._pairs, self.reach
-        for j in range(1, n + 1):
-            longest = reach.get(raw[j - 2 : j], 1) if j > 1 else 1
-            for i in range(j - longest if longest < j else 0, j):
-                if (piece := raw[i:j]) in ids:
-                    token = ids[piece]
-                    if i == 0:
-                        good = self._first(token)
-                    elif (good := pairs.get(last[i] << 20 | token)) is None:
+        ids, pairs, tails = self.ids, self._pairs, self.tails
+        prefixes = self._prefixes if n <= CACHED_LENGTH else None
+        if prefixes is not None:
+            while j < n and (known := prefixes.get(raw[: j + 1])) is not None:
+                j += 1
+                last[j], count[j] = known >> 8, known & 255
+        while j < n:
+            j += 1
+            for length in tails[raw[j - 3 : j] if j > 3 else raw[:j]]:
+                i = j - length
+                if i > 0:
+                    if (token := ids.get(raw[i:j])) is None:
+                        continue
+                    if (good := pairs.get(last[i] << 20 | token)) is None:
                         good = self._pair(last[i], token)
-                    if good:
-                        last[j], count[j] = token, count[i] + 1
-                        break
+                elif i == 0:
+                    good = (token := ids.get(raw[:j])) is not None and self._first(token)
+                else:
+                    continue
+                if good:
+                    last[j], count[j] = token, count[i] + 1
+                    break
+            if prefixes is not None:
+                if len(prefixes) >= CACHE_PREFIXES:
+                    prefixes.clear()
+                prefixes[raw[:j]] = last[j] << 8 | count[j]
         return count
 
     def word_deltas(self, word: str) -> bytes:
