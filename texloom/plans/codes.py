@@ -88,3 +88,27 @@ def blob_container(spark, sf_dir):
 def checksums(spark, sf_dir):
     """CRC-16 of each text."""
     return entropy.crc16(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")
+
+
+@query("symbol_streams")
+def symbol_streams(spark, sf_dir):
+    """Event types a user as prefix-coded streams with their tables, by stripe, read back."""
+    from pyspark.sql import Window as W
+
+    from texloom.operators.bitstream import code_streams
+
+    at = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
+    kinds = ("click", "error", "purchase", "signup", "view")
+    symbol = F.coalesce(F.array_position(F.array(*map(F.lit, kinds)), F.col("event_type")), F.lit(0)).cast("int")
+    return code_streams(frames(spark, sf_dir).select("user_id", at.alias("at"), symbol.alias("sym")), "user_id", "at", "sym", 6)
+
+
+@query(
+    "text_grid",
+    "WITH f AS (SELECT l_orderkey, max(l_quantity::INT) AS q FROM lineitem GROUP BY 1) SELECT l_orderkey // 64 AS y, string_agg(q || ' ' || q % 4, ', ' ORDER BY l_orderkey % 64) AS value FROM f GROUP BY 1",
+)
+def text_grid(spark, sf_dir):
+    from texloom.api import text_grid as grid
+
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.max(F.col("l_quantity").cast("int")).alias("q"))
+    return grid(rows.select(F.expr("l_orderkey % 64").alias("x"), F.expr("l_orderkey div 64").alias("y"), F.col("q").alias("r"), (F.col("q") % 4).alias("g")), ["r", "g"])
