@@ -7,7 +7,7 @@ committed tasks.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,9 +87,8 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def write_images(images: DataFrame, folder: str, ending: str) -> DataFrame:
-    """Rows (name, width, height, data of RGBA texels) as files; (path, size) of those that committed tasks wrote."""
-    writer = rasters.WRITERS[ending]
+def _write(files: DataFrame, columns: list[str], folder: str, ending: str, make: Callable[..., bytes]) -> DataFrame:
+    """A file a row, named by `name` and the task's attempt; (path, size) of those that committed tasks wrote."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         system, own = fs.FileSystem.from_uri(folder)
@@ -97,13 +96,24 @@ def write_images(images: DataFrame, folder: str, ending: str) -> DataFrame:
         attempt = TaskContext.get().taskAttemptId()
         for batch in batches:
             out = []
-            for name, w, h, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                raw = writer(np.frombuffer(data, np.uint8).reshape(h, w, 4))
+            for name, *parts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                raw = make(*parts)
                 path = f"{own}/{name}-{attempt}.{ending}"
                 with system.open_output_stream(path, compression=None) as f:
                     f.write(raw)
                 out.append((path, len(raw)))
-            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out]), pa.array([n for _, n in out], pa.int64())], names=["path", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["path", "size"])
+
+    files.select("name", *columns).mapInArrow(run, "path string, size long").write.parquet(f"{folder}/manifest")
+    return files.sparkSession.read.schema("path string, size long").parquet(f"{folder}/manifest")
+
+
+def write_images(images: DataFrame, folder: str, ending: str) -> DataFrame:
+    """Rows (name, width, height, data of RGBA texels) as picture files."""
+    writer = rasters.WRITERS[ending]
+    return _write(images, ["width", "height", "data"], folder, ending, lambda w, h, data: writer(np.frombuffer(data, np.uint8).reshape(h, w, 4)))
+
 
-    images.select("name", "width", "height", "data").mapInArrow(run, "path string, size long").write.parquet(f"{folder}/manifest")
-    return images.sparkSession.read.parquet(f"{folder}/manifest")
+def write_files(files: DataFrame, folder: str, ending: str) -> DataFrame:
+    """Rows (name, data) as files."""
+    return _write(files, ["data"], folder, ending, lambda data: data)
