@@ -138,15 +138,15 @@ def test_containers_round_trip(fmt, layers, faces):
         assert containers.write_ktx(t)[:12] == containers.KTX_MARK
 
 
-def test_astc_and_basis():
+def test_astc_and_slice_file():
     blocks = [containers.make_constant_block((i, 2, 3, 4)) for i in range(6)]
     w, h, bw, bh, back = containers.read_astc(containers.write_astc(11, 7, 4, 4, b"".join(blocks)))
     assert (w, h, bw, bh) == (11, 7, 4, 4) and [containers.constant_block(b)[0] for b in back] == list(range(6))
-    raw = containers.write_basis({"images": 1, "us_per_frame": 33333}, [({"level": i, "blocks_x": 4}, bytes([i]) * 9) for i in range(3)], b"ends", b"sels", b"tabs")
-    head, slices = containers.read_basis(raw)
+    raw = containers.write_slice_file({"images": 1, "us_per_frame": 33333}, [({"level": i, "blocks_x": 4}, bytes([i]) * 9) for i in range(3)], b"ends", b"sels", b"tabs")
+    head, slices = containers.read_slice_file(raw)
     assert head["us_per_frame"] == 33333 and [s["level"] for s in slices] == [0, 1, 2] and [s["size"] for s in slices] == [9] * 3
     with pytest.raises(ValueError):
-        containers.read_basis(raw[:-1] + b"x")
+        containers.read_slice_file(raw[:-1] + b"x")
 
 
 def test_source_and_sink(spark, tmp_path):

@@ -19,11 +19,11 @@ def test_commands(spark, tmp_path, capsys):
     (tmp_path / "a.png").write_bytes(rasters.write_png(p))
     (tmp_path / "b.tga").write_bytes(rasters.write_tga(np.clip(p.astype(int) + 4, 0, 255).astype(np.uint8)))
     (tmp_path / "bad.dds").write_bytes(rng.bytes(200))
-    (tmp_path / "x.basis").write_bytes(containers.write_basis({"images": 1}, [({"orig_width": 8, "orig_height": 4}, b"data")]))
-    a, b, bad, basis = (str(tmp_path / n) for n in ("a.png", "b.tga", "bad.dds", "x.basis"))
+    (tmp_path / "x.slices").write_bytes(containers.write_slice_file({"images": 1}, [({"orig_width": 8, "orig_height": 4}, b"data")]))
+    a, b, bad, sliced = (str(tmp_path / n) for n in ("a.png", "b.tga", "bad.dds", "x.slices"))
     listing = tmp_path / "list.txt"
     listing.write_text(f"# files\n{a}\n\n{b}\n")
-    assert commands.main(["info", f"@{listing}", basis]) == 0
+    assert commands.main(["info", f"@{listing}", sliced]) == 0
     assert commands.main(["validate", a, bad]) == 1
     assert "not a DDS file" in capsys.readouterr().out
     assert commands.main(["compare", a, b]) == 0 and "psnr" in capsys.readouterr().out

@@ -24,8 +24,8 @@ def report_of(path: str, raw: bytes) -> tuple:
     """One line on a file: what it holds, or why it is not valid."""
     kind = path.rpartition(".")[2].lower()
     try:
-        if kind == "basis":
-            head, slices = containers.read_basis(raw)
+        if raw[:2] == b"sB":
+            head, slices = containers.read_slice_file(raw)
             levels = max((s["level"] for s in slices), default=-1) + 1
             return path, kind, str(head["tex_format"]), *((slices[0]["orig_width"], slices[0]["orig_height"]) if slices else (0, 0)), levels, head["images"], 1, None
         rows = list(datasource.images_of(path, raw))

@@ -1,4 +1,4 @@
-"""The queries of the reference's operators, with an SQL oracle where SQL can express them."""
+"""The queries of the image-side operators, with an SQL oracle where SQL can express them."""
 
 from __future__ import annotations
 

@@ -1,6 +1,6 @@
-"""Texture containers in memory: DDS, ASTC, KTX, KTX2 and the .basis header tables.
+"""Texture containers in memory: DDS, ASTC, KTX, KTX2 and slice files (header tables).
 
-Readers give one entry a (level, layer, face) with its bytes; the .basis reader gives the header and slice tables only, since the
+Readers give one entry a (level, layer, face) with its bytes; the reader of slice files gives the header and slice tables only, since the
 slice bodies' format is not described by any source at hand.
 """
 
@@ -240,13 +240,13 @@ def read_ktx2(raw: bytes) -> Texture:
     return out
 
 
-#: Fields of the .basis file header and of its slice descriptors, with their bytes (little endian).
-BASIS_HEADER = (
+#: Fields of the slice file header and of its slice descriptors, with their bytes (little endian).
+SLICE_FILE_HEADER = (
     ("sig", 2), ("version", 2), ("header_size", 2), ("header_crc", 2), ("data_size", 4), ("data_crc", 2), ("slices", 3), ("images", 3), ("tex_format", 1), ("flags", 2), ("tex_type", 1), ("us_per_frame", 3),
     ("reserved", 4), ("userdata0", 4), ("userdata1", 4), ("endpoints", 2), ("endpoints_at", 4), ("endpoints_size", 3), ("selectors", 2), ("selectors_at", 4), ("selectors_size", 3),
     ("tables_at", 4), ("tables_size", 4), ("slices_at", 4), ("extended_at", 4), ("extended_size", 4),
 )
-BASIS_SLICE = (("image", 3), ("level", 1), ("flags", 1), ("orig_width", 2), ("orig_height", 2), ("blocks_x", 2), ("blocks_y", 2), ("at", 4), ("size", 4), ("crc", 2))
+SLICE_ENTRY = (("image", 3), ("level", 1), ("flags", 1), ("orig_width", 2), ("orig_height", 2), ("blocks_x", 2), ("blocks_y", 2), ("at", 4), ("size", 4), ("crc", 2))
 
 
 def _fields(raw: bytes, at: int, layout: tuple) -> dict[str, int]:
@@ -261,25 +261,25 @@ def _pack(values: dict[str, int], layout: tuple) -> bytes:
     return b"".join(values.get(name, 0).to_bytes(size, "little") for name, size in layout)
 
 
-def read_basis(raw: bytes) -> tuple[dict[str, int], list[dict[str, int]]]:
+def read_slice_file(raw: bytes) -> tuple[dict[str, int], list[dict[str, int]]]:
     """The header and the slice table; checksums are verified."""
-    head = _fields(raw, 0, BASIS_HEADER)
-    size = sum(n for _, n in BASIS_HEADER)
+    head = _fields(raw, 0, SLICE_FILE_HEADER)
+    size = sum(n for _, n in SLICE_FILE_HEADER)
     if head["sig"] != 0x4273 or head["header_size"] != size:
-        raise ValueError("not a .basis file")
+        raise ValueError("not a slice file")
     if crc16_of(raw[8:size]) != head["header_crc"] or crc16_of(raw[size : size + head["data_size"]]) != head["data_crc"]:
-        raise ValueError("a .basis checksum is wrong")
-    step = sum(n for _, n in BASIS_SLICE)
-    slices = [_fields(raw, head["slices_at"] + step * i, BASIS_SLICE) for i in range(head["slices"])]
+        raise ValueError("a slice file checksum is wrong")
+    step = sum(n for _, n in SLICE_ENTRY)
+    slices = [_fields(raw, head["slices_at"] + step * i, SLICE_ENTRY) for i in range(head["slices"])]
     for s in slices:
         if crc16_of(raw[s["at"] : s["at"] + s["size"]]) != s["crc"]:
             raise ValueError("a slice's checksum is wrong")
     return head, slices
 
 
-def write_basis(head: dict[str, int], slices: list[tuple[dict[str, int], bytes]], endpoints: bytes = b"", selectors: bytes = b"", tables: bytes = b"") -> bytes:
+def write_slice_file(head: dict[str, int], slices: list[tuple[dict[str, int], bytes]], endpoints: bytes = b"", selectors: bytes = b"", tables: bytes = b"") -> bytes:
     """Assemble header, slice table, codebooks, tables and slice bodies, with running offsets and checksums."""
-    size, step = sum(n for _, n in BASIS_HEADER), sum(n for _, n in BASIS_SLICE)
+    size, step = sum(n for _, n in SLICE_FILE_HEADER), sum(n for _, n in SLICE_ENTRY)
     at = size + step * len(slices)
     values = dict(head) | {"sig": 0x4273, "version": head.get("version", 0x13), "header_size": size, "slices": len(slices), "slices_at": size}
     body = b""
@@ -289,9 +289,9 @@ def write_basis(head: dict[str, int], slices: list[tuple[dict[str, int], bytes]]
             body += part
     table = b""
     for s, data in slices:
-        table += _pack(s | {"at": at + len(body), "size": len(data), "crc": crc16_of(data)}, BASIS_SLICE)
+        table += _pack(s | {"at": at + len(body), "size": len(data), "crc": crc16_of(data)}, SLICE_ENTRY)
         body += data
     data = table + body
     values |= {"data_size": len(data), "data_crc": crc16_of(data)}
-    values["header_crc"] = crc16_of(_pack(values, BASIS_HEADER)[8:])
-    return _pack(values, BASIS_HEADER) + data
+    values["header_crc"] = crc16_of(_pack(values, SLICE_FILE_HEADER)[8:])
+    return _pack(values, SLICE_FILE_HEADER) + data
