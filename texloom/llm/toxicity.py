@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texloom.llm.common import distinct_ids, map_text, segment_sums, starts_of
+from texloom.llm.common import distinct_ids, map_text, segment_sums, starts_of, worker_cache
 from texloom.llm.features import WordCodes, words_of
 
 BATCH_WORDS = 400_000
@@ -46,7 +46,7 @@ FIELDS = [
 class OrdinalTraining:
     """sample_docs: most labelled rows that training reads."""
 
-    sample_docs: int = 5000
+    sample_docs: int = 3000
     buckets: int = 1 << 18
     grades: int = 3
     least_docs: int = 2
@@ -164,6 +164,7 @@ def grade_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text",
     shared = docs.sparkSession.sparkContext.broadcast((model.weights, model.thresholds))
 
     def make():
+        worker_cache("toxicity")
         own = OrdinalModel(*shared.value)
 
         def score(texts: list[str | None]) -> np.ndarray:
