@@ -24,6 +24,8 @@ from texloom.llm.toxicity import fit_toxicity, grade_toxicity
 
 #: A text of which no language has this mean probability is in none of the languages learned.
 LEAST_LANGUAGE_SCORE = 0.4
+#: The last stage's workers live beside heaps that the joins before have grown; they keep fewer words than the lone query.
+PIPELINE_CACHE_WORDS = 150_000
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +53,13 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them."""
     keyed = written(docs.withColumn("__row", F.monotonically_increasing_id()).withColumn("__words", word_count(F.col("text"))), "mixed")
     taken = mix(keyed.select("__row", "doc_id", "source", "__words"), F.col("__words"), keep=["__row"]).where("copies > 0")
-    rows = keyed.join(taken.select("__row", "copies"), "__row")
+    rows = keyed.join(taken.select("__row", "copies").hint("merge"), "__row")
     return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of each document, with the check that they decode to its text."""
-    return encode_decode(docs, tokenizer_path(PIECE_FILE), keep=["doc_id", "lang", "source"])
+    return encode_decode(docs, tokenizer_path(PIECE_FILE), keep=["doc_id", "lang", "source"], cache_words=PIPELINE_CACHE_WORDS)
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

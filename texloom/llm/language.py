@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texloom.llm.common import distinct_ids, map_text, starts_of
+from texloom.llm.common import distinct_ids, map_text, starts_of, worker_cache
 from texloom.llm.features import WordCodes, words_of
 
 UNKNOWN = "und"
@@ -231,6 +231,7 @@ def label_language(docs: DataFrame, model: LanguageField, text_col: str = "text"
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.start, model.moves))
 
     def make():
+        worker_cache("language")
         own = LanguageField(*shared.value)
 
         def some(texts: list[list[str]]) -> tuple[list, list, list, list]:

@@ -31,7 +31,8 @@ from texloom.llm.common import TailLengths, map_text, worker_cache
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
-CACHE_WORDS, CACHE_PREFIXES, CACHED_LENGTH = 700_000, 1_200_000, 64
+#: Words that a worker keeps (with some more prefixes of words, about 300 bytes each), and the longest kept.
+CACHE_WORDS, CACHED_LENGTH = 700_000, 64
 
 FIELDS = [
     T.StructField("ids", T.ArrayType(T.IntegerType(), False)),
@@ -52,7 +53,7 @@ class _Chunks(dict):
     def __missing__(self, chunk: str) -> bytes:
         found = np.array(self.model.chunk_ids(chunk.replace(" ", SPACE)), np.int32).tobytes()
         if len(chunk) <= CACHED_LENGTH:
-            if len(self) >= CACHE_WORDS:
+            if len(self) >= self.model.cache_words:
                 self.clear()
             self[chunk] = found
         return found
@@ -61,7 +62,8 @@ class _Chunks(dict):
 class PieceModel:
     """Encodes and decodes by a SentencePiece model file of kind unigram or BPE."""
 
-    def __init__(self, path: str | None = None, proto: bytes | None = None):
+    def __init__(self, path: str | None = None, proto: bytes | None = None, cache_words: int = CACHE_WORDS):
+        self.cache_words = cache_words
         from sentencepiece import sentencepiece_model_pb2
 
         spec = sentencepiece_model_pb2.ModelProto()
@@ -180,7 +182,7 @@ class PieceModel:
             if unigram:
                 score.append(value if found >= 0 else score[j - 1 - base] + self.unknown_score)
             if known_prefixes is not None:
-                if len(known_prefixes) >= CACHE_PREFIXES:
+                if len(known_prefixes) >= self.cache_words * 7 // 4:
                     known_prefixes.clear()
                 known_prefixes[text[:j]] = found
             elif len(start) > 2 * self.longest + 16 and j % self.longest == 0:
@@ -250,14 +252,14 @@ class PieceModel:
         return raw[1:] if self.prefix and raw[:1] == b" " else raw
 
 
-def encode_decode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, model: str, text_col: str = "text", keep: list[str] | None = None, decoded: bool = False, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Append FIELDS: the ids of each whole text, how many, the CRC-32 of their decoding, and whether that is the text.
-    decoded: append the decoded text as well."""
+    decoded: append the decoded text as well. cache_words: fewer take less memory a worker and more time."""
     fields = [*FIELDS, DECODED] if decoded else FIELDS
 
     def make():
         cache = worker_cache("pieces")
-        own = cache.get(model) or cache.setdefault(model, PieceModel(model))
+        own = cache.get((model, cache_words)) or cache.setdefault((model, cache_words), PieceModel(model, cache_words=cache_words))
 
         def work(column: pa.Array) -> list[pa.Array]:
             ids, crc, same, back = [], [], [], []

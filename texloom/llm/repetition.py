@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from texloom.llm.common import distinct_ids, map_text, starts_of, text_bytes
+from texloom.llm.common import distinct_ids, map_text, starts_of, text_bytes, worker_cache
 
 SYMBOLS = b"#*$%&|<>"
 BATCH_WORDS = 600_000
@@ -215,6 +215,8 @@ def repetition(docs: DataFrame, text_col: str = "text", rules: RepetitionRules |
     fields = [*FIELDS, SPANS] if spans else FIELDS
 
     def make():
+        worker_cache("repetition")
+
         def work(column: pa.Array) -> list[pa.Array]:
             texts = [x or b"" for x in text_bytes(column)]
             plain = _plain_counts(texts)
