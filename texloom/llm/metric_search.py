@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from texloom.llm.common import limit_batches, written
 
-BLOCK, PAGE, QUERIES = 8192, 256, 1024
+BLOCK, PAGE, QUERIES = 4096, 256, 1024
 SLACK = 1e-6
 
 RESULT = T.StructType(
@@ -231,7 +231,7 @@ def top_k(table: DataFrame, is_query: Column, k: int, id_col: str = "vec_id", ve
                 if out:
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=RESULT.names)
 
-    few = pairs.select("queries", "asked", "data").repartition(F.col("queries"), F.md5(F.col("data")))
-    found = few.mapInArrow(run, RESULT)
+    # each tree stays where the join put it; the blocks of queries came to it
+    found = pairs.select("queries", "asked", "data").mapInArrow(run, RESULT)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
