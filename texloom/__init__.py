@@ -1,0 +1,10 @@
+"""A PySpark engine for dense image, block and vector data.
+
+Functions that run on executors are pickled by value, so a cluster needs no copy of this package on its workers.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
