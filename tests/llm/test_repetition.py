@@ -76,6 +76,27 @@ def test_rules(spark):
     assert found[1]["longest_repeat"] == 120 and not found[1]["base_failed"]
 
 
+def test_short_phrases_decide(spark):
+    differing = [f"w{i}" for i in range(3000)]
+    texts = []
+    for size in (3, 5, 7):
+        lines = [[f"s{k}" for k in range(size)] + differing[3 * i : 3 * i + 3] for i in range(60)]
+        texts.append("\n".join(" ".join(x) for x in lines))
+    few = [[f"s{k}" for k in range(5)] + differing[20 * i : 20 * i + 20] for i in range(60)]
+    texts.append("\n".join(" ".join(x) for x in few))
+    found = repetition(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).orderBy("doc_id").collect()
+    assert [r["base_failed"] for r in found] == [False] * 4 and [r["covered_words"] for r in found] == [0] * 4
+    assert [r["short_covered_words"] for r in found] == [180, 300, 420, 300]
+    assert [r["kept"] for r in found] == [False, False, False, True]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=40))
+def test_short_covered(words):
+    words = [w.encode() for w in words]
+    assert _of_batch([b" ".join(words)], RepetitionRules(), False)[0][0][4] == brute(words, 3)[0]
+
+
 def test_odd_rows(odd, none):
     rows = repetition(odd.withColumn("Kept", F.lit("mine")), spans=True)
     found = {r["doc_id"]: r for r in rows.collect()}

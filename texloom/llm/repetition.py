@@ -3,7 +3,8 @@
 Each text is a sequence of words ``[^\\x20\\x09-\\x0D]+``. A suffix array over the words of a batch of
 texts, built by prefix doubling within each text, gives the longest common prefix of neighbouring
 suffixes; every interval of it of at least ``min_words`` words is a maximal repeat. The union of
-their spans against all words and the longest repeat decide.
+their spans against all words and the longest repeat decide, and so does the union of the spans of
+repeats of at least ``short_words`` words, fewer than the base rule's windows have.
 
 Doubling refines only suffixes that still share a prefix with another of their text, so a text
 without repeats costs one sort of its words; the number of rounds is the logarithm of the longest
@@ -39,6 +40,7 @@ FIELDS = [
     T.StructField("base_failed", T.BooleanType()),
     T.StructField("covered_words", T.LongType()),
     T.StructField("longest_repeat", T.LongType()),
+    T.StructField("short_covered_words", T.LongType()),
     T.StructField("kept", T.BooleanType()),
 ]
 SPANS = T.StructField("repeat_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
@@ -47,11 +49,14 @@ SPANS = T.StructField("repeat_spans", T.ArrayType(T.StructType([T.StructField("s
 @dataclass(frozen=True)
 class RepetitionRules:
     """Limits. min_words: shortest repeat that counts. max_covered: largest share of words under repeats.
-    max_longest: most words of one repeat."""
+    max_longest: most words of one repeat. short_words, max_short_covered: the same share for repeats that may be
+    shorter than the base rule's windows; it decides where phrases of a few words fill a text."""
 
     min_words: int = WINDOW
     max_covered: float = 0.3
     max_longest: int = 100
+    short_words: int = 3
+    max_short_covered: float = 0.4
     base_min_words: int = 20
     base_max_repeat_percent: int = 30
 
@@ -164,7 +169,7 @@ def union_of_spans(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _of_batch(texts: list[bytes], rules: RepetitionRules, spans: bool) -> tuple[np.ndarray, list | None]:
-    """A row for each text: n_words, n_repeat_words, covered words, longest repeat."""
+    """A row for each text: n_words, n_repeat_words, covered words, longest repeat, words covered by short repeats too."""
     split = [x.split() for x in texts]
     bounds = starts_of(np.fromiter(map(len, split), np.int64, len(split)))
     ids, _ = distinct_ids([w for words in split for w in words])
@@ -172,15 +177,19 @@ def _of_batch(texts: list[bytes], rules: RepetitionRules, spans: bool) -> tuple[
     array = SuffixArray(ids, bounds)
     at = array.repeated_windows(WINDOW)
     repeated = union_of_spans(n, at, at + WINDOW)
-    slots, lengths = array.common_prefixes(rules.min_words)
+    slots, lengths = array.common_prefixes(min(rules.min_words, rules.short_words))
     begin = np.concatenate([array.sa[slots], array.sa[slots - 1]])
     reach = np.concatenate([lengths, lengths])
+    short = reach >= rules.short_words
+    short_covered = union_of_spans(n, begin[short], (begin + reach)[short])
+    long = reach >= rules.min_words
+    begin, reach = begin[long], reach[long]
     covered = union_of_spans(n, begin, begin + reach)
     longest = np.zeros(len(texts), np.int64)
     np.maximum.at(longest, array.text[begin], reach)
-    rows = np.empty((len(texts), 4), np.int64)
+    rows = np.empty((len(texts), 5), np.int64)
     rows[:, 0] = np.diff(bounds)
-    for j, flags in ((1, repeated), (2, covered)):
+    for j, flags in ((1, repeated), (2, covered), (4, short_covered)):
         total = starts_of(flags)
         rows[:, j] = total[bounds[1:]] - total[bounds[:-1]]
     rows[:, 3] = longest
@@ -230,11 +239,11 @@ def repetition(docs: DataFrame, text_col: str = "text", rules: RepetitionRules |
                 parts.append(rows)
                 lists += more or []
                 i = j
-            rows = np.concatenate(parts) if parts else np.zeros((0, 4), np.int64)
-            n, repeat, covered, longest = rows.T
+            rows = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
+            n, repeat, covered, longest, short = rows.T
             failed = (n < rules.base_min_words) | (100 * repeat > rules.base_max_repeat_percent * n)
-            kept = ~failed & (covered <= rules.max_covered * n) & (longest <= rules.max_longest)
-            out = [n, plain[:, 0], plain[:, 1], plain[:, 2], repeat, failed, covered, longest, kept]
+            kept = ~failed & (covered <= rules.max_covered * n) & (longest <= rules.max_longest) & (short <= rules.max_short_covered * n)
+            out = [n, plain[:, 0], plain[:, 1], plain[:, 2], repeat, failed, covered, longest, short, kept]
             return [pa.array(x) for x in out] + ([pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] if spans else [])
 
         return work
