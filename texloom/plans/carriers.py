@@ -35,8 +35,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as blocks of a grid: order modulo 64 across, order div 64 down, first line of each order."""
-    rows = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
-    return rows.groupBy("l_orderkey").agg(F.min(F.col("l_quantity").cast("int")).alias("q")).select(
-        F.expr("l_orderkey % 64").alias("bx"), F.expr("l_orderkey div 64").alias("by"), F.expr("q % 4").alias("endpoint"), "q"
-    )
+    """lineitem as blocks of a grid: order modulo 64 across, order div 64 down, the line of least number of each order."""
+    line = F.struct("l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.min(line)["q"].alias("q"))
+    return rows.select(F.expr("l_orderkey % 64").alias("bx"), F.expr("l_orderkey div 64").alias("by"), F.expr("q % 4").alias("endpoint"), "q")
