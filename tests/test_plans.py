@@ -22,3 +22,20 @@ def test_orders_without_a_line_1_are_blocks(spark, tmp_path):
     found = run(spark, tmp_path, "combine_images")
     assert {(r["bx"], r["by"]): (r["color"], r["alpha"]) for r in found} == {(2, 1): (7, 11), (2, 2): (30, 23)}
     assert {(r["bx"], r["by"]) for r in run(spark, tmp_path, "neighbor_reuse")} == set(q)
+
+
+def signs(code):
+    return [1.0 if code >> i & 1 else -1.0 for i in range(16)]
+
+
+def test_tour_has_codes_of_all_ids(spark, tmp_path):
+    rows = [(i, signs(c)) for i, c in {0: 6, 399: 7, 400: 0, 5000: 65535, 5001: 7}.items()]
+    found = run(spark, tmp_path, "selector_tour", embeddings=(rows, "vec_id long, embedding array<float>"))
+    assert [r["code"] for r in sorted(found, key=lambda r: r["place"])] == [0, 6, 7, 65535]
+
+
+def test_tour_of_every_code_of_16_bits(spark):
+    from texloom.operators import entropy
+
+    tour = [r["id"] for r in entropy.hamming_tour(spark.range(1 << 16), "id").orderBy("place").collect()]
+    assert sorted(tour) == [*range(1 << 16)] and tour[:4] == [0, 1, 3, 2]

@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MOST_SYMBOLS = 1 << 14
+#: Codes of a tour: all that 16 bits can have.
+MOST_TOUR_CODES = 1 << 16
 
 
 def code_lengths(freqs: list[int], most: int = 16) -> list[int]:
@@ -97,10 +99,10 @@ def reorder_palette(pairs: DataFrame) -> DataFrame:
 
 def hamming_tour(codes: DataFrame, column: str) -> DataFrame:
     """(code, place): from the smallest code always to the nearest code left, by differing bits; ties to the smaller. For
-    codebooks of up to MOST_SYMBOLS codes."""
-    found = [r[0] for r in codes.select(column).orderBy(column).limit(MOST_SYMBOLS + 1).collect()]
-    if len(found) > MOST_SYMBOLS:
-        raise ValueError(f"a codebook has at most {MOST_SYMBOLS} codes")
+    codebooks of up to MOST_TOUR_CODES codes."""
+    found = [r[0] for r in codes.select(column).orderBy(column).limit(MOST_TOUR_CODES + 1).collect()]
+    if len(found) > MOST_TOUR_CODES:
+        raise ValueError(f"a codebook has at most {MOST_TOUR_CODES} codes")
     left = np.array(found, np.int64)
     tour = []
     at = 0

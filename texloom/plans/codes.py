@@ -68,7 +68,7 @@ def selector_tour(spark, sf_dir):
     """Codes of 16 bits in a greedy tour of least Hamming steps."""
     from texloom.plans.codebooks import _sign_bits
 
-    return entropy.hamming_tour(_sign_bits(spark, sf_dir).where("vec_id < 400").select("code").distinct(), "code")
+    return entropy.hamming_tour(_sign_bits(spark, sf_dir).select("code").distinct(), "code")
 
 
 @query("deflated_sizes")
