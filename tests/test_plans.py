@@ -1,5 +1,7 @@
 """Registered queries over small tables of their own."""
 
+import random
+
 from texloom import registry
 
 
@@ -39,3 +41,17 @@ def test_tour_of_every_code_of_16_bits(spark):
 
     tour = [r["id"] for r in entropy.hamming_tour(spark.range(1 << 16), "id").orderBy("place").collect()]
     assert sorted(tour) == [*range(1 << 16)] and tour[:4] == [0, 1, 3, 2]
+
+
+def test_hamming_neighbors_of_all_ids(spark, tmp_path):
+    rng = random.Random(3)
+    codes = {i: rng.choice([rng.randrange(1 << 16), 77, 79]) for i in [*range(40), *range(90, 170)]}
+    found = run(spark, tmp_path, "hamming_neighbors", embeddings=([(i, signs(c)) for i, c in codes.items()], "vec_id long, embedding array<float>"))
+    want = {(i, k + 1, *x[::-1]) for i, c in codes.items() for k, x in enumerate(sorted(((c ^ d).bit_count(), j) for j, d in codes.items())[:3])}
+    assert len(found) == len(want) == 360 and {(r["vec_id"], r["rank"], r["pattern_id"], r["bits"]) for r in found} == want
+
+
+def test_labels_without_an_early_code_keep_their_rows(spark, tmp_path):
+    rows = [(1, 0, [0.0] * 64), (70, 0, [1.0] * 64), (71, 5, [1.0] * 64), (90, 5, [3.0] * 64), (91, None, [3.0] * 64)]
+    found = run(spark, tmp_path, "nearest_codeword_of_parent", embeddings=(rows, "vec_id long, label int, embedding array<float>"))
+    assert {r["vec_id"]: (r["code"], r["error"]) for r in found} == {1: (1, 0.0), 70: (1, 64.0), 71: (71, 0.0), 90: (71, 256.0), 91: (None, None)}

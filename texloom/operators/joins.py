@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Rows of a codebook that may be broadcast; larger ones are joined by parent.
 MOST_CODES = 16128
+#: Distinct patterns that neighbours are searched among: all that 16 bits can have.
+MOST_PATTERNS = 1 << 16
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -18,10 +27,10 @@ def nearest_code(rows: DataFrame, codes: DataFrame, row_id: str, v: str, code_id
     """(row_id, code_id, error): the code of least squared distance, ties to the smaller id; with parent, among its children.
 
     Without parent the codebook, whose size is checked, becomes one broadcast array and each row takes the least over
-    it: no pair is ever a row. With parent it is an equi-join.
+    it: no pair is ever a row. With parent it is an equi-join; a row whose parent has no code keeps nulls.
     """
     if parent:
-        pairs = rows.join(codes, parent).select(row_id, F.struct(squared_distance(F.col(v), F.col(center)).alias("error"), F.col(code_id).alias("code")).alias("x"))
+        pairs = rows.join(codes, parent, "left").select(row_id, F.struct(squared_distance(F.col(v), F.col(center)).alias("error"), F.col(code_id).alias("code")).alias("x"))
         return pairs.groupBy(row_id).agg(F.min("x").alias("x")).select(row_id, F.col("x.code").alias(code_id), F.col("x.error").alias("error"))
     found = codes.select(code_id, center).limit(MOST_CODES + 1).count()
     if found > MOST_CODES:
@@ -49,13 +58,52 @@ def nearest_level(v: Column, levels: list[int]) -> Column:
 
 
 def hamming_neighbors(rows: DataFrame, patterns: DataFrame, row_id: str, code: str, pattern_id: str, pattern: str, k: int) -> DataFrame:
-    """The k patterns with the fewest differing bits: (row_id, rank, pattern_id, bits). The pattern table is a checked dimension."""
-    if patterns.limit(MOST_CODES + 1).count() > MOST_CODES:
-        raise ValueError("the pattern table is too large to broadcast")
-    book = patterns.agg(F.collect_list(F.struct(F.col(pattern_id).alias("id"), F.col(pattern).alias("p"))).alias("__book"))
-    scored = F.array_sort(F.transform("__book", lambda s: F.struct(F.bit_count(F.col(code).bitwiseXOR(s["p"])).alias("bits"), s["id"].alias("id"))))
-    best = rows.join(F.broadcast(book), F.lit(True)).select(row_id, F.posexplode(F.slice(scored, 1, k)).alias("rank", "x"))
-    return best.select(row_id, (F.col("rank") + 1).alias("rank"), F.col("x.id").alias(pattern_id), F.col("x.bits").alias("bits"))
+    """The k patterns with the fewest differing bits, ties to the smaller id: (row_id, rank, pattern_id, bits).
+
+    The distinct patterns are a checked dimension. Of equal ones the k smallest ids are enough; null patterns are no
+    neighbours. Rows stay where they are: a task finds the patterns of each code once.
+    """
+    place = F.row_number().over(W.partitionBy(pattern).orderBy(pattern_id))
+    least = patterns.select(pattern_id, pattern).where(F.col(pattern).isNotNull()).withColumn("__k", place).where(F.col("__k") <= k)
+    found = least.limit(MOST_PATTERNS * k + 1).toArrow().sort_by([(pattern_id, "ascending")])
+    groups: dict[int, list] = {}
+    for i, p in zip(found[pattern_id].to_pylist(), found[pattern].to_pylist(), strict=True):
+        groups.setdefault(p, []).append(i)
+    if len(found) > MOST_PATTERNS * k or len(groups) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} distinct patterns")
+    # patterns in the order of their smallest ids: the first k of equal distance hold the k smallest ids
+    book, ids = np.array([*groups], np.int64), [*groups.values()]
+    source = rows.select(row_id, F.col(code).cast("long").alias(code))
+    kinds = [source.schema[row_id], T.StructField("rank", T.IntegerType()), T.StructField(pattern_id, patterns.schema[pattern_id].dataType), T.StructField("bits", T.IntegerType())]
+    schema = T.StructType(kinds)
+    arrow = to_arrow_schema(schema)
+
+    def nearest(value: int | None) -> list[tuple]:
+        bits = np.bitwise_count((book ^ value).view(np.uint64)) if value is not None else np.zeros(len(book), np.uint8)
+        best: list[int] = []
+        for distance in range(65):
+            if len(best) >= min(k, len(book)):
+                break
+            best += np.flatnonzero(bits == distance)[: k - len(best)].tolist()
+        pairs = sorted((int(bits[b]), i) for b in best for i in ids[b])[:k]
+        return [(i, b if value is not None else None) for b, i in pairs]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[int | None, list[tuple]] = {}
+        for batch in batches:
+            at, out = [], []
+            for n, value in enumerate(batch.column(1).to_pylist()):
+                if value not in known:
+                    if len(known) >= MOST_PATTERNS:
+                        known.clear()
+                    known[value] = nearest(value)
+                for rank, (i, b) in enumerate(known[value], 1):
+                    at.append(n)
+                    out.append((rank, i, b))
+            columns = [pa.array([r[c] for r in out], arrow.field(c + 1).type) for c in range(3)]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=schema.names)
+
+    return source.mapInArrow(run, schema)
 
 
 def band_candidates(rows: DataFrame, row_id: str, bits: Column, bands: int, width: int) -> DataFrame:

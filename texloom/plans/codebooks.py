@@ -28,8 +28,11 @@ x AS (SELECT e.vec_id, code, list_sum(list_transform(range(1, 65), lambda i: (em
 r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY d, code) AS k FROM x) SELECT vec_id, code, round(d, 6) AS error FROM r WHERE k = 1""",
 )
 def nearest_codeword_of_parent(spark, sf_dir):
+    """The codes of a label are those of its rows with vec_id < 64, or else its row of least id: every label has one."""
     rows = table(spark, sf_dir, "embeddings")
     codes = rows.where("vec_id < 64").select("label", F.col("vec_id").alias("code"), F.col("embedding").alias("c"))
+    first = rows.groupBy("label").agg(F.min("vec_id").alias("code"), F.min_by("embedding", "vec_id").alias("c"))
+    codes = codes.union(first.where("code >= 64"))
     return joins.nearest_code(rows.select("vec_id", "label", "embedding"), codes, "vec_id", "embedding", "code", "c", "label").withColumn("error", F.round("error", 6))
 
 
@@ -41,7 +44,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY bits, pattern_id
 )
 def hamming_neighbors(spark, sf_dir):
     rows = _sign_bits(spark, sf_dir)
-    patterns = rows.where("vec_id < 100").select(F.col("vec_id").alias("pattern_id"), F.col("code").alias("pattern"))
+    patterns = rows.select(F.col("vec_id").alias("pattern_id"), F.col("code").alias("pattern"))
     return joins.hamming_neighbors(rows, patterns, "vec_id", "code", "pattern_id", "pattern", 3)
 
 
