@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 from texloom import registry
 
 
@@ -55,3 +57,14 @@ def test_labels_without_an_early_code_keep_their_rows(spark, tmp_path):
     rows = [(1, 0, [0.0] * 64), (70, 0, [1.0] * 64), (71, 5, [1.0] * 64), (90, 5, [3.0] * 64), (91, None, [3.0] * 64)]
     found = run(spark, tmp_path, "nearest_codeword_of_parent", embeddings=(rows, "vec_id long, label int, embedding array<float>"))
     assert {r["vec_id"]: (r["code"], r["error"]) for r in found} == {1: (1, 0.0), 70: (1, 64.0), 71: (71, 0.0), 90: (71, 256.0), 91: (None, None)}
+
+
+def test_covariance_of_all_components(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    v, label = rng.normal(size=(40, 64)).astype(np.float32), rng.integers(0, 10, 40)
+    rows = [(i, x.tolist(), int(k)) for i, (x, k) in enumerate(zip(v, label, strict=True))]
+    found = run(spark, tmp_path, "covariance_matrix", embeddings=(rows, "vec_id long, embedding array<float>, label int"))
+    want = np.cov(v.T.astype(float), aweights=label + 1, ddof=0)
+    got = {(r["i"], r["j"]): r["covariance"] for r in found}
+    assert len(found) == len(got) == 64 * 64
+    assert all(abs(got[i + 1, j + 1] - want[i, j]) < 2e-6 for i in range(64) for j in range(64))

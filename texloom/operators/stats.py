@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from texloom.functions.integers import clamp
 
@@ -108,6 +113,35 @@ def sum_of_squares_about_mean(v: Column) -> Column:
     return F.coalesce(F.var_samp(v) * F.count(v), F.lit(0.0))
 
 
+def weighted_covariance(df: DataFrame, vector: str, weight: str) -> DataFrame:
+    """(i, j, covariance) for all components, counted from 1. Rows without a vector or weight are left out; vectors of unequal size
+    are an error. A task sends its sums of weights, components and products; the driver holds one matrix."""
+    data = df.where(F.col(vector).isNotNull() & F.col(weight).isNotNull()).select(vector, F.col(weight).cast("double"))
+    partial = T.StructType([T.StructField("size", T.IntegerType()), T.StructField("at", T.IntegerType()), T.StructField("s", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            sizes = np.asarray(batch.column(0).value_lengths())
+            for n in np.unique(sizes):
+                own = pa.array(sizes == n)
+                v = np.asarray(batch.column(0).filter(own).flatten(), np.float64).reshape(-1, n)
+                w = np.asarray(batch.column(1).filter(own))
+                total[int(n)] = total.get(int(n), 0) + np.concatenate([[w.sum()], w @ v, ((v * w[:, None]).T @ v).ravel()])
+        for n, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(sums), n, np.int32)), pa.array(np.arange(len(sums), dtype=np.int32)), pa.array(sums)], names=partial.names)
+
+    found = data.mapInArrow(run, partial).groupBy("size", "at").agg(F.sum("s").alias("s")).orderBy("size", "at").toArrow()
+    sizes = found["size"].unique().to_pylist()
+    if len(sizes) > 1:
+        raise ValueError(f"vectors of different sizes: {sizes}")
+    n, sums = (sizes or [0])[0], found["s"].to_numpy()
+    mean = sums[1 : n + 1] / sums[0] if n else sums[:0]
+    matrix = sums[n + 1 :].reshape(n, n) / sums[0] - np.outer(mean, mean) if n else np.zeros((0, 0))
+    cells = [(i + 1, j + 1, float(matrix[i, j])) for i in range(n) for j in range(n)]
+    return df.sparkSession.createDataFrame(cells, "i int, j int, covariance double")
+
+
 def channel_summary(df: DataFrame, channels: list[str]) -> DataFrame:
     """A row a channel: extremes, moments, distinct values, whether constant. One scan; the channels are unpivoted first."""
     long_form = df.select(F.expr(f"stack({len(channels)}, " + ", ".join(f"'{c}', cast(`{c}` as double)" for c in channels) + ") as (channel, v)"))

@@ -182,15 +182,9 @@ x AS (SELECT a.i, b.i AS j, sum(a.w * a.embedding[a.i]::DOUBLE * a.embedding[b.i
 SELECT x.i::INT AS i, x.j::INT AS j, round(s - p.mu * q.mu, 6) + 0.0 AS covariance FROM x JOIN m p ON p.i = x.i JOIN m q ON q.i = x.j""",
 )
 def covariance_matrix(spark, sf_dir):
-    """Weighted covariance of the first 8 components, by one aggregate a pair of components and no exploded pairs of rows."""
-    e, w = F.col("embedding"), F.col("label") + 1
-    at = lambda i: e[i].cast("double")
-    sums = [F.sum(w).alias("w")] + [F.sum(w * at(i)).alias(f"s{i}") for i in range(8)]
-    sums += [F.sum(w * at(i) * at(j)).alias(f"x{i}_{j}") for i in range(8) for j in range(i, 8)]
-    one = table(spark, sf_dir, "embeddings").agg(*sums)
-    cell = lambda i, j: F.round(F.col(f"x{min(i, j)}_{max(i, j)}") / F.col("w") - F.col(f"s{i}") * F.col(f"s{j}") / (F.col("w") * F.col("w")), 6) + 0.0
-    cells = [F.struct(F.lit(i + 1).alias("i"), F.lit(j + 1).alias("j"), cell(i, j).alias("covariance")) for i in range(8) for j in range(8)]
-    return one.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    """Weighted covariance of all components, by one row of partial sums a task and no exploded pairs of rows."""
+    rows = table(spark, sf_dir, "embeddings").select("embedding", (F.col("label") + 1).alias("w"))
+    return stats.weighted_covariance(rows, "embedding", "w").withColumn("covariance", F.round("covariance", 6) + 0.0)
 
 
 @query(
