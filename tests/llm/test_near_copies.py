@@ -44,7 +44,6 @@ def result(df):
 @pytest.fixture
 def small_blocks(monkeypatch):
     monkeypatch.setattr(nc, "BLOCK_TEXTS", 7)
-    monkeypatch.setattr(nc, "NODE", 5)
 
 
 def family(rng, base, n, edits):
@@ -88,10 +87,51 @@ def test_odd_rows(odd, none):
     assert result(none) == []
 
 
-def test_forest_depth():
+def test_matched_prefixes_reach_the_recall():
+    forest, rng = nc.Forest(), np.random.default_rng(2)
+    sizes = np.sort(rng.integers(1, 10_000, (50, forest.trees, 4)), axis=2)[:, :, ::-1]
+    sizes[:5] = 1
+    depths = forest.matched_depths(sizes)
+    assert depths.min() >= forest.least_depth and depths.max() <= forest.depth
+    recall = forest.expected_recall(depths)
+    assert (recall >= forest.recall - 1e-9).all()
+    # no more is shortened than needed: one step back in some tree misses the recall
+    longer = depths[:, None, :] + np.eye(forest.trees, dtype=int)[None]
+    assert (forest.expected_recall(longer).min(axis=1) < forest.recall).all()
+
+
+def test_crowded_trees_keep_long_prefixes():
     forest = nc.Forest()
-    depth = forest.prefix_depth()
-    assert forest.expected_recall(depth) >= forest.recall > forest.expected_recall(depth + 1)
+    sizes = np.ones((1, forest.trees, 4), int) * 2
+    sizes[0, :8, :3] = 5000
+    depths = forest.matched_depths(sizes)[0]
+    assert (depths[:8] == forest.depth).all() and depths[8:].min() < forest.depth - 1
+    with pytest.raises(ValueError):
+        nc.Forest(trees=4)
+
+
+def test_common_counts_against_sets():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 60, 400, dtype=np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(400) < 0.8], rng.choice(base[:50] + np.uint64(7), 5), rng.integers(0, 1 << 60, 30, dtype=np.uint64)])) for _ in range(90)]
+    bounds = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+    want = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    other = ~np.eye(len(sets), dtype=bool)
+    assert (nc.common_counts(np.concatenate(sets), bounds) == want)[other].all()
+    assert (nc.common_counts(np.concatenate(sets), bounds, 31) == want[:31, 31:]).all()
+
+
+def test_one_large_family(spark, monkeypatch):
+    """20,000 different texts that nearly all link: each text is shipped once a block, its links are those of brute force."""
+    monkeypatch.setattr(nc, "BLOCK_TEXTS", 4096)
+    rng = np.random.default_rng(8)
+    # text i lacks word i % 200 of 200 common ones and has a last word of its own
+    rows = [(i, " ".join(f"w{k}" for k in range(200) if k != i % 200) + f" end{i}") for i in range(20_000)]
+    order = rng.permutation(len(rows))
+    df = spark.createDataFrame([rows[i] for i in order], "doc_id long, text string").repartition(8)
+    found = nc.near_copies(df).agg(F.min("class_id"), F.max("class_id"), F.min("n_links"), F.max("n_links"), F.count("*")).first()
+    # two texts lack up to ten of some 195 n-grams and differ in one more each: all pairs are over the threshold
+    assert tuple(found) == (0, 0, 19_999, 19_999, 20_000)
 
 
 def test_min_hash_estimates_similarity():
@@ -111,3 +151,14 @@ def test_components(spark):
     rng.shuffle(edges)
     found = {r["node"]: r["root"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {i: 0 for i in range(61)} | {100: 100, 101: 100, 199: 199, 200: 199}
+
+
+def test_components_of_a_long_path(spark, monkeypatch):
+    """A path in the order of its ids takes rounds as its length's logarithm."""
+    from texloom.llm import graph
+
+    rounds = []
+    monkeypatch.setattr(graph, "_order", lambda label, turn, own=graph._order: (rounds.append(turn), own(label, turn))[1])
+    found = graph.components(spark.range(1000).selectExpr("id as a", "id + 1 as b"))
+    assert found.count() == 1001 and {r["root"] for r in found.select("root").distinct().collect()} == {0}
+    assert max(rounds) < 30

@@ -50,9 +50,11 @@ def limit_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is absent (tests, one machine)."""
+    """The cluster's shared folder; a temporary one only where the setting is absent and the master is this machine (tests)."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         cache = worker_cache("driver")
         found = cache.setdefault("dir", tempfile.mkdtemp(prefix="texloom-"))
     return found.rstrip("/")
@@ -67,7 +69,35 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._texloom_path = path
+    return found
+
+
+def discard(table: DataFrame) -> None:
+    """Remove the files of a table that `written` made and nothing will read again; other tables stay."""
+    if path := table.__dict__.pop("_texloom_path", None):
+        spark = table.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+#: A key of more than one in KEY_SHARE rows is hot. There are at most KEY_SHARE such keys, whatever the input's size.
+KEY_SHARE = 1000
+
+
+def join_by_key(rows: DataFrame, table: DataFrame, key: str, total: int | None = None) -> DataFrame:
+    """Inner join of rows with a table that has each key once and in `n` about how many rows have it; n stays.
+    total: the sum of n, where it is known.
+
+    Hot keys are broadcast (at most KEY_SHARE entries), so their rows stay where they are; only rows with other keys,
+    none of which has more than its share, are shuffled.
+    """
+    total = (table.agg(F.sum("n")).first()[0] or 0) if total is None else total
+    hot = F.col("n") > total / KEY_SHARE
+    few = F.broadcast(table.where(hot))
+    rest = rows.join(F.broadcast(table.where(hot).select(key)), key, "left_anti")
+    return rows.join(few, key).unionByName(rest.join(table.where(~hot).hint("merge"), key))
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
