@@ -183,9 +183,25 @@ SELECT q.doc_id, q.size::BIGINT AS size, q.source_size, q.target, coalesce(sum(z
 FROM q LEFT JOIN z ON q.doc_id = z.doc_id GROUP BY q.doc_id, q.size, q.source_size, q.target
 """
 
+#: All pairs by their common n-grams, then the closure of the links.
+_NEAR_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))
+    WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS gram FROM d),
+s AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN s x ON x.doc_id = a JOIN s y ON y.doc_id = b WHERE 5 * c >= 4 * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS root FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.root = e.a),
+n AS (SELECT a, count(*) AS links FROM e GROUP BY a)
+SELECT r.doc_id, min(r.root) AS class_id, coalesce(any_value(n.links), 0)::BIGINT AS n_links FROM r LEFT JOIN n ON n.a = r.doc_id GROUP BY r.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op1_feistel_shards": _shard_sql(),
     "op6_warc_chunks": _WARC_SQL,
     "op7_mtree_topk": _TOPK_SQL,
+    "op8_lsh_forest": _NEAR_SQL,
     "op10_fair_queue_mix": _MIX_SQL,
 }
