@@ -63,3 +63,40 @@ def test_repeated_rows_ties_and_few_candidates(spark):
     assert top_k(none, F.col("id") == 0, 5).count() == 0
     same = spark.createDataFrame([(i, [0.25, 0.5]) for i in range(2000)], "vec_id long, embedding array<float>")
     assert [r["vec_id"] for r in top_k(same, F.col("id") == 7, 3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def test_far_blocks_are_not_searched(spark, monkeypatch):
+    from texloom.llm import metric_search
+
+    monkeypatch.setattr(metric_search, "BLOCK", 64)
+    monkeypatch.setattr(metric_search, "DESCRIPTORS", 20)
+    rng = np.random.default_rng(5)
+    centers = rng.normal(size=(40, 8))
+    centers /= np.linalg.norm(centers, axis=1)[:, None]
+    points = centers[rng.integers(0, 40, 4000)] + rng.normal(size=(4000, 8)) * 0.01
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in enumerate(points)]
+    formed = []
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(6)
+    found = sorted(tuple(r) for r in top_k(df, F.col("id") % 50 == 0, 5, formed=formed).collect())
+    assert found == brute(rows, 5, lambda i: i % 50 == 0)
+    assert formed[0] < 0.3 * formed[1], formed
+
+
+def test_one_crowded_cell(spark, monkeypatch):
+    """A third of all vectors are equal: their cell is dealt into blocks, and the result stays exact."""
+    from texloom.llm import metric_search
+
+    monkeypatch.setattr(metric_search, "BLOCK", 50)
+    rng = np.random.default_rng(9)
+    rows = [(i, [0.5, 0.25, 0.0]) for i in range(300)] + [(i, [float(x) for x in rng.integers(-8, 9, 3) / 8]) for i in range(300, 900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    assert sorted(tuple(r) for r in top_k(df, F.col("id") % 50 == 0, 5).collect()) == brute(rows, 5, lambda i: i % 50 == 0)
+
+
+def test_sums_beyond_floats(spark):
+    rows = [(0, [3.0e9, 1.0]), (1, [3.0e9, 1.0]), (2, [3.0e9, 1.25]), (3, [-3.0e9, 0.0]), (4, [1e30, 0.0]), (5, [1.0, 2.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {r["vec_id"]: r["score"] for r in top_k(df, F.col("id") == 0, 5).collect()}
+    big = 768_000_000_000
+    assert found[1] == min(2**63 - 1, big * big + 256 * 256) and found[2] == min(2**63 - 1, big * big + 256 * 320)
+    assert found[4] == 2**63 - 1 and found[5] == big * 256 + 256 * 512 and found[3] == max(-(2**63), -big * big)
