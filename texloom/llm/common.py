@@ -104,6 +104,12 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def file_bytes(path: str) -> bytes:
+    """A vocabulary file, read where the driver is; workers get its bytes."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def text_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     kind = pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()

@@ -9,16 +9,18 @@ first n characters" and "how many characters fit a budget" without encoding anyt
 Prefixes are counted as if the text ended there: a run of white space before a word, a contraction or a
 special string that a prefix cuts counts as the library counts the cut text.
 
-Words are kept in a bounded cache a worker; memory follows the batch and its longest text.
+The vocabulary file is read by the driver and sent to the workers. Words are kept in a bounded cache a worker; memory follows the batch and its longest text.
 
 Defined results: a null text counts as empty, an empty text has 0 bytes and 0 tokens; texts of any
 length are read whole; equal rows give equal results; an input column named like a result gives way to
-it; an empty table gives an empty result.
+it; an empty table gives an empty result. A code point that changed the count by more than a signed byte holds
+would raise, not wrap.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -26,7 +28,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from texloom.llm.common import TailLengths, map_text, worker_cache
+from texloom.llm.common import TailLengths, file_bytes, map_text, worker_cache
 
 #: The vocabulary's pattern of words (with \\s spelled as the library reads it).
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -68,11 +70,10 @@ class _Words(dict):
 
 
 class PrefixCounter:
-    """Counts the tokens of every prefix of a text for a byte-level BPE tokenizer file."""
+    """Counts the tokens of every prefix of a text for a byte-level BPE tokenizer file, or its bytes."""
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
+    def __init__(self, path: str | None = None, raw: bytes | None = None):
+        spec = json.loads(file_bytes(path) if raw is None else raw)
         letters = byte_letters()
         to_bytes = lambda s: bytes(letters[c] for c in s)
         self.ids = {to_bytes(s): i for s, i in spec["model"]["vocab"].items() if all(c in letters for c in s)}
@@ -167,7 +168,10 @@ class PrefixCounter:
             at = [count[i] for i in ends]
         if word in LONG_CONTRACTIONS:
             at[1] = 1 + self.byte_counts(raw[1:2])[1]
-        return bytes([(b - a) & 255 for a, b in zip([0, *at], at)])  # noqa: B905
+        steps = [b - a for a, b in zip([0, *at], at)]  # noqa: B905
+        if max(steps, default=0) > 127 or min(steps, default=0) < -128:
+            raise OverflowError("a code point changes the count by more than a stored difference holds")
+        return bytes([x & 255 for x in steps])
 
     def _words(self, text: str) -> np.ndarray:
         """Differences word by word; their sum is the count of the whole text."""
@@ -182,6 +186,8 @@ class PrefixCounter:
                 own = deltas = deltas.copy()
             total = lambda run: int(np.frombuffer(self.words[run], np.int8).sum(dtype=np.int64))
             move = total(text[a:b]) - total(text[a : b - 1]) - int(deltas[b - 1])
+            if not (-128 <= deltas[b - 1] + move <= 127 and -128 <= deltas[b] - move <= 127):
+                raise OverflowError("a code point changes the count by more than a stored difference holds")
             deltas[b - 1] += move
             deltas[b] -= move
         return deltas
@@ -193,15 +199,6 @@ class PrefixCounter:
     def has_special(self, text: str) -> bool:
         return any(s in text for s in self.special)
 
-    def count_and_deltas(self, text: str, least: int) -> tuple[int, np.ndarray | None]:
-        """The whole text's count, and where that is at least `least`, its prefix differences."""
-        if self.has_special(text):
-            deltas = self.deltas(text)
-            return int(deltas.sum(dtype=np.int64)), deltas
-        deltas = self._words(text)
-        n = int(deltas.sum(dtype=np.int64))
-        return n, self._cut_runs(text, deltas) if n >= least else None
-
     def deltas(self, text: str) -> np.ndarray:
         """For each code point of the text, by how much it changes the token count of the prefix."""
         if not self.has_special(text):
@@ -213,11 +210,14 @@ class PrefixCounter:
             parts += [piece, np.array([before + 1 - int(piece.sum())], np.int64)]
             begin = b
         parts.append(self._segment(text[begin:]).astype(np.int64))
-        return np.concatenate(parts).astype(np.int8)
+        found = np.concatenate(parts)
+        if found.max(initial=0) > 127 or found.min(initial=0) < -128:
+            raise OverflowError("a code point changes the count by more than a stored difference holds")
+        return found.astype(np.int8)
 
     def count(self, text: str) -> int:
         """Token count of a whole text: the last of its prefix counts."""
-        return self.count_and_deltas(text, 1 << 62)[0]
+        return int(self.deltas(text).sum(dtype=np.int64))
 
 
 def tokens_of_prefix(deltas: bytes, chars: int) -> int:
@@ -231,20 +231,25 @@ def chars_within(deltas: bytes | np.ndarray, budget: int) -> int:
     return int(found[-1]) + 1 if len(found) else 0
 
 
-def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", limit: int = 1024, keep: list[str] | None = None, prefixes: bool = False) -> DataFrame:
-    """Append FIELDS: bytes, tokens, whether over the limit, and the characters that fit it. prefixes: DELTAS too."""
+def token_counts(docs: DataFrame, vocabulary: str, text_col: str = "text", limit: int = 1024, keep: list[str] | None = None, prefixes: bool = True) -> DataFrame:
+    """Append FIELDS: bytes, tokens, whether over the limit, and the characters that fit it; and DELTAS, the stored table that
+    answers any other prefix or budget (not returned if prefixes is false)."""
     fields = [*FIELDS, DELTAS] if prefixes else FIELDS
 
+    raw = file_bytes(vocabulary)
+    name, shared = zlib.crc32(raw), docs.sparkSession.sparkContext.broadcast(raw)
+
     def make():
         cache = worker_cache("prefix_tokens")
-        counter = cache.get(vocabulary) or cache.setdefault(vocabulary, PrefixCounter(vocabulary))
+        counter = cache.get(name) or cache.setdefault(name, PrefixCounter(raw=shared.value))
 
         def work(column: pa.Array) -> list[pa.Array]:
             sizes, counts, fit, stored = [], [], [], []
             for text in column.to_pylist():
                 text = text or ""
                 sizes.append(len(text.encode()))
-                n, deltas = counter.count_and_deltas(text, 0 if prefixes else limit + 1)
+                deltas = counter.deltas(text)
+                n = int(deltas.sum(dtype=np.int64))
                 counts.append(n)
                 fit.append(chars_within(deltas, limit) if n > limit else len(text))
                 if prefixes:
