@@ -94,3 +94,29 @@ def test_odd_rows(odd, none):
     found = {r["doc_id"]: r for r in rows.collect()}
     assert rows.count() == 10 and found[2]["ids"] == found[3]["ids"] == [] and all(r["round_trip"] for r in found.values())
     assert encode_decode(none, PATH).count() == 0
+
+
+def test_unknown_runs_equal_the_library():
+    """Without byte pieces a run of unknown characters is one unknown piece, also across words."""
+    rng = random.Random(10)
+    for kind in (1, 2):
+        spec = sentencepiece_model_pb2.ModelProto()
+        for piece, score, of in (("<unk>", 0, 2), ("▁", -5.0, 1), ("a", -1.5, 1), ("b", -1.6, 1), ("ab", -1.0, 1), ("▁a", -1.2, 1)):
+            spec.pieces.add(piece=piece, score=score, type=of)
+        spec.trainer_spec.model_type = kind
+        spec.normalizer_spec.add_dummy_prefix = True
+        spec.normalizer_spec.remove_extra_whitespaces = False
+        raw = spec.SerializeToString()
+        library, model = sentencepiece.SentencePieceProcessor(model_proto=raw), PieceModel(proto=raw)
+        for text in ["axyb", "x", "xx xx", "a x", "中文ab", *("".join(rng.choice("abxy 中") for _ in range(12)) for _ in range(300))]:
+            assert model.encode(text).tolist() == library.encode(text), (kind, text)
+
+
+def test_windows_give_the_same_ids(model, library, monkeypatch):
+    from texloom.llm import pieces
+
+    monkeypatch.setattr(pieces, "WINDOW", 7)
+    rng = random.Random(11)
+    for _ in range(300):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 60)))
+        assert model.encode(text).tolist() == library.encode(text), text

@@ -6,12 +6,14 @@ the one piece that forms a valid pair with the piece before it, which is what th
 Only a window of nodes is retained: edges are no longer than the longest piece, so once the backpointer
 paths of the last that many nodes meet in one boundary, no later path can avoid it, the ids up to it are
 committed and its nodes are dropped. Where no piece spans a boundary (a word's end before a space) the
-paths always meet; the ids between two such boundaries are kept in a bounded cache a worker.
+paths always meet, so a text is read in windows and the ids of each stretch between two such boundaries are committed
+as they come; short stretches are kept in a bounded cache a worker, longer ones go node by node.
+The model file is read by the driver and sent to the workers.
 
 Pieces that the model ranks all alike (runs of spaces) are merged from the left, after all others.
 
 Defined results: a null text counts as empty and has no ids; texts of any length are read whole; a
-character outside the vocabulary becomes its byte pieces, or the unknown piece where the model has none;
+character outside the vocabulary becomes its byte pieces; where the model has none, a run of such characters is one unknown piece;
 decoding gives the text back with U+2581 read as a space; equal rows give equal results; an input column
 named like a result gives way to it; an empty table gives an empty result.
 """
@@ -26,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from texloom.llm.common import TailLengths, map_text, worker_cache
+from texloom.llm.common import TailLengths, file_bytes, map_text, worker_cache
 
 SPACE = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, BYTE, UNUSED = 1, 2, 3, 4, 6, 5
+#: Characters of a text whose chunks are held at once.
+WINDOW = 1 << 16
 #: Words that a worker keeps (with some more prefixes of words, about 300 bytes each), and the longest kept.
 CACHE_WORDS, CACHED_LENGTH = 700_000, 64
 
@@ -67,10 +71,7 @@ class PieceModel:
         from sentencepiece import sentencepiece_model_pb2
 
         spec = sentencepiece_model_pb2.ModelProto()
-        if proto is None:
-            with open(path, "rb") as f:
-                proto = f.read()
-        spec.ParseFromString(proto)
+        spec.ParseFromString(file_bytes(path) if proto is None else proto)
         self.kind = spec.trainer_spec.model_type
         if self.kind not in (UNIGRAM, BPE) or spec.normalizer_spec.precompiled_charsmap:
             raise ValueError("only unigram and BPE models without a table of character rules are read")
@@ -236,15 +237,40 @@ class PieceModel:
             return self._run(spaces) + word[1:]
         return self._run(spaces - 1) + word
 
+    def stream(self, text: str):
+        """Yield the ids of a text of any length, a window of WINDOW characters at a time.
+
+        Boundaries that no piece spans are met by every path, so the chunks between them are committed as they come; a
+        window's last chunk may go on, so the next window begins with it. Longer chunks commit inside (`viterbi`).
+        """
+        text = (" " if self.prefix else "") + text.replace(SPACE, " ")
+        if not self.breaks:
+            yield np.array(self.chunk_ids(text.replace(" ", SPACE)), np.int32)
+            return
+        begin, size, n = 0, WINDOW, len(text)
+        while begin < n:
+            end = min(n, begin + size)
+            found = self._chunk.findall(text, begin, end)
+            if end < n:
+                if len(found) < 2:
+                    size *= 2
+                    continue
+                end -= len(found.pop())
+            yield np.frombuffer(b"".join(map(self.chunks.__getitem__, found)), np.int32)
+            begin, size = end, WINDOW
+
     def encode(self, text: str) -> np.ndarray:
-        """Ids of a whole text."""
+        """Ids of a whole text. Without byte pieces, neighbouring unknown characters are one unknown piece, as the library has it."""
         if not text:
             return np.zeros(0, np.int32)
-        text = (" " if self.prefix else "") + text.replace(SPACE, " ")
-        if not self.breaks:
-            return np.array(self.chunk_ids(text.replace(" ", SPACE)), np.int32)
-        found = self._chunk.findall(text)
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, found)), np.int32)
+        parts = list(self.stream(text))
+        ids = parts[0] if len(parts) == 1 else np.concatenate(parts)
+        if not self.bytes:
+            lost = ids == self.unknown
+            lost[1:] &= lost[:-1].copy()
+            lost[:1] = False
+            ids = ids[~lost]
+        return ids
 
     def decode(self, ids: np.ndarray) -> bytes:
         """UTF-8 bytes of the text of ids."""
@@ -257,9 +283,12 @@ def encode_decode(docs: DataFrame, model: str, text_col: str = "text", keep: lis
     decoded: append the decoded text as well. cache_words: fewer take less memory a worker and more time."""
     fields = [*FIELDS, DECODED] if decoded else FIELDS
 
+    raw = file_bytes(model)
+    key, shared = (zlib.crc32(raw), cache_words), docs.sparkSession.sparkContext.broadcast(raw)
+
     def make():
         cache = worker_cache("pieces")
-        own = cache.get((model, cache_words)) or cache.setdefault((model, cache_words), PieceModel(model, cache_words=cache_words))
+        own = cache.get(key) or cache.setdefault(key, PieceModel(proto=shared.value, cache_words=cache_words))
 
         def work(column: pa.Array) -> list[pa.Array]:
             ids, crc, same, back = [], [], [], []
