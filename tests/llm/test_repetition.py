@@ -52,6 +52,20 @@ def test_maximal_repeats(words):
     assert {tuple(p): n for n, p in maximal_repeats(words, least)} == want
 
 
+def test_a_repeat_at_the_start_of_a_text():
+    """What comes before a text in the batch is not what its first words follow."""
+    repeat = [f"r{i}" for i in range(9)]
+    first, second = ["x", "y", "z"], [*repeat, "z", *repeat]
+    rows, _ = _of_batch([" ".join(t).encode() for t in (first, second)], RepetitionRules(), False)
+    assert rows[1].tolist() == [19, 18, 18, 9, 18, 1]
+
+
+def test_nested_intervals_take_linear_time():
+    words = [b"a"] * 60_000 + [b"b", b"a"] * 20_000
+    rows, _ = _of_batch([b" ".join(words)], RepetitionRules(), False)
+    assert rows[0][2] == 100_000 and rows[0][3] == 59_999
+
+
 def test_base_columns(docs):
     import re
 

@@ -2,9 +2,10 @@
 
 Each text is a sequence of words ``[^\\x20\\x09-\\x0D]+``. A suffix array over the words of a batch of
 texts, built by prefix doubling within each text, gives the longest common prefix of neighbouring
-suffixes; every interval of it of at least ``min_words`` words is a maximal repeat. The union of
-their spans against all words and the longest repeat decide, and so does the union of the spans of
-repeats of at least ``short_words`` words, fewer than the base rule's windows have.
+suffixes; its intervals of at least ``min_words`` words whose occurrences do not all follow the same word are the
+maximal repeats. The union of their spans against all words and the longest repeat decide, and so does the union
+of the spans of maximal repeats of at least ``short_words`` words, fewer than the base rule's windows have. Nested
+intervals are not spread out: each suffix counts with the longest maximal one that has it.
 
 Doubling refines only suffixes that still share a prefix with another of their text, so a text
 without repeats costs one sort of its words; the number of rounds is the logarithm of the longest
@@ -38,6 +39,7 @@ FIELDS = [
     T.StructField("n_dup_lines", T.LongType()),
     T.StructField("n_repeat_words", T.LongType()),
     T.StructField("base_failed", T.BooleanType()),
+    T.StructField("n_maximal_repeats", T.LongType()),
     T.StructField("covered_words", T.LongType()),
     T.StructField("longest_repeat", T.LongType()),
     T.StructField("short_covered_words", T.LongType()),
@@ -136,28 +138,85 @@ class SuffixArray:
         return k[long], length[long]
 
 
-def maximal_repeats(words: list, least: int = WINDOW) -> list[tuple[int, list[int]]]:
-    """Every maximal repeat of at least `least` words of one text: its length and its positions.
+@dataclass
+class Intervals:
+    """Intervals of the common-prefix array: for each its length in words, its first and last slot, and the interval around
+    it (-1: none). slots: positions k of the array; owner: the interval that has the common prefix of slots k - 1 and k."""
+
+    length: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    parent: np.ndarray
+    slots: np.ndarray
+    owner: np.ndarray
+
+
+def lcp_intervals(slots: np.ndarray, lengths: np.ndarray) -> Intervals:
+    """Every interval of the common-prefix array, from its positions that are not zero, by a stack."""
+    length: list[int] = []
+    left: list[int] = []
+    right: list[int] = []
+    parent: list[int] = []
+    owner, stack, before = [], [], -2
+    for k, value in zip(slots.tolist(), lengths.tolist(), strict=True):
+        if k != before + 1:
+            while stack:
+                t = stack.pop()
+                right[t], parent[t] = before, stack[-1] if stack else -1
+        begin = k - 1
+        while stack and length[stack[-1]] > value:
+            t = stack.pop()
+            right[t], begin = before, left[t]
+            parent[t] = stack[-1] if stack and length[stack[-1]] >= value else len(length)
+        if not stack or length[stack[-1]] < value:
+            stack.append(len(length))
+            length.append(value)
+            left.append(begin)
+            right.append(0)
+            parent.append(-1)
+        owner.append(stack[-1])
+        before = k
+    while stack:
+        t = stack.pop()
+        right[t], parent[t] = before, stack[-1] if stack else -1
+    return Intervals(*(np.array(x, np.int64) for x in (length, left, right, parent)), slots, np.array(owner, np.int64))
+
+
+def left_maximal(found: Intervals, array: SuffixArray, ids: np.ndarray) -> np.ndarray:
+    """Whether the occurrences of each interval do not all follow the same word; one at a text's start follows none."""
+    if not len(found.length):
+        return np.zeros(0, bool)
+    follows = np.where(array.sa > array.bounds[array.text[array.sa]], ids[array.sa - 1], -1)
+    turns = starts_of(follows[1:] != follows[:-1])
+    return turns[found.right] > turns[found.left]
+
+
+def longest_maximal(found: Intervals, maximal: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of maximal intervals and for each the longest one that has it. An interval that isn't maximal passes on what is
+    around it: its words are covered by the longer repeat one word to the left."""
+    value = np.where(maximal, found.length, 0)
+    open_ = np.nonzero(~maximal & (found.parent >= 0))[0]
+    up = found.parent[open_]
+    while len(open_):
+        done = maximal[up] | (found.parent[up] < 0)
+        value[open_[done]] = np.where(maximal[up[done]], found.length[up[done]], 0)
+        open_, up = open_[~done], found.parent[up[~done]]
+    slots = np.concatenate([found.slots, found.slots - 1])
+    reach = np.concatenate([value[found.owner], value[found.owner]])
+    order = np.lexsort((reach, slots))
+    slots, reach = slots[order], reach[order]
+    last = np.append(slots[1:] != slots[:-1], True) if len(slots) else np.zeros(0, bool)
+    last &= reach > 0
+    return slots[last], reach[last]
 
-    From the intervals of the common-prefix array, by a stack; intervals whose occurrences all follow
-    the same word are not maximal to the left and are left out.
-    """
+
+def maximal_repeats(words: list, least: int = WINDOW) -> list[tuple[int, list[int]]]:
+    """Every maximal repeat of at least `least` words of one text: its length and its positions."""
     ids, _ = distinct_ids(words)
     array = SuffixArray(ids, np.array([0, len(ids)]))
-    slots, lengths = array.common_prefixes(least)
-    lcp = np.zeros(array.n + 1, np.int64)
-    lcp[slots] = lengths
-    found, stack = [], []
-    for k in range(1, array.n + 1):
-        left = k - 1
-        while stack and stack[-1][0] > lcp[k]:
-            length, left = stack.pop()
-            places = sorted(int(x) for x in array.sa[left:k])
-            if len({int(ids[p - 1]) if p else -1 for p in places}) > 1:
-                found.append((int(length), places))
-        if lcp[k] and (not stack or stack[-1][0] < lcp[k]):
-            stack.append((lcp[k], left))
-    return found
+    found = lcp_intervals(*array.common_prefixes(least))
+    keep = np.nonzero(left_maximal(found, array, ids))[0]
+    return [(int(found.length[i]), sorted(array.sa[found.left[i] : found.right[i] + 1].tolist())) for i in keep]
 
 
 def union_of_spans(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
@@ -169,7 +228,8 @@ def union_of_spans(n: int, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 
 def _of_batch(texts: list[bytes], rules: RepetitionRules, spans: bool) -> tuple[np.ndarray, list | None]:
-    """A row for each text: n_words, n_repeat_words, covered words, longest repeat, words covered by short repeats too."""
+    """A row for each text: n_words, n_repeat_words, covered words, longest repeat, words covered by short repeats too, and how
+    many maximal repeats there are."""
     split = [x.split() for x in texts]
     bounds = starts_of(np.fromiter(map(len, split), np.int64, len(split)))
     ids, _ = distinct_ids([w for words in split for w in words])
@@ -177,9 +237,10 @@ def _of_batch(texts: list[bytes], rules: RepetitionRules, spans: bool) -> tuple[
     array = SuffixArray(ids, bounds)
     at = array.repeated_windows(WINDOW)
     repeated = union_of_spans(n, at, at + WINDOW)
-    slots, lengths = array.common_prefixes(min(rules.min_words, rules.short_words))
-    begin = np.concatenate([array.sa[slots], array.sa[slots - 1]])
-    reach = np.concatenate([lengths, lengths])
+    found = lcp_intervals(*array.common_prefixes(min(rules.min_words, rules.short_words)))
+    maximal = left_maximal(found, array, ids)
+    slots, reach = longest_maximal(found, maximal)
+    begin = array.sa[slots]
     short = reach >= rules.short_words
     short_covered = union_of_spans(n, begin[short], (begin + reach)[short])
     long = reach >= rules.min_words
@@ -187,7 +248,9 @@ def _of_batch(texts: list[bytes], rules: RepetitionRules, spans: bool) -> tuple[
     covered = union_of_spans(n, begin, begin + reach)
     longest = np.zeros(len(texts), np.int64)
     np.maximum.at(longest, array.text[begin], reach)
-    rows = np.empty((len(texts), 5), np.int64)
+    rows = np.empty((len(texts), 6), np.int64)
+    counted = maximal & (found.length >= rules.min_words)
+    rows[:, 5] = np.bincount(array.text[array.sa[found.left[counted]]], minlength=len(texts))
     rows[:, 0] = np.diff(bounds)
     for j, flags in ((1, repeated), (2, covered), (4, short_covered)):
         total = starts_of(flags)
@@ -239,11 +302,11 @@ def repetition(docs: DataFrame, text_col: str = "text", rules: RepetitionRules |
                 parts.append(rows)
                 lists += more or []
                 i = j
-            rows = np.concatenate(parts) if parts else np.zeros((0, 5), np.int64)
-            n, repeat, covered, longest, short = rows.T
+            rows = np.concatenate(parts) if parts else np.zeros((0, 6), np.int64)
+            n, repeat, covered, longest, short, repeats = rows.T
             failed = (n < rules.base_min_words) | (100 * repeat > rules.base_max_repeat_percent * n)
             kept = ~failed & (covered <= rules.max_covered * n) & (longest <= rules.max_longest) & (short <= rules.max_short_covered * n)
-            out = [n, plain[:, 0], plain[:, 1], plain[:, 2], repeat, failed, covered, longest, short, kept]
+            out = [n, plain[:, 0], plain[:, 1], plain[:, 2], repeat, failed, repeats, covered, longest, short, kept]
             return [pa.array(x) for x in out] + ([pa.array(lists, pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))] if spans else [])
 
         return work
