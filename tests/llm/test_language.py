@@ -66,3 +66,25 @@ def test_odd_rows(odd, none, docs):
     assert fit_language(none).langs == []
     kept = {r["doc_id"] for r in label_language(odd, model, least_score=0.4).collect()}
     assert kept.isdisjoint({2, 3, 4}) and 1 in kept
+
+
+def test_letters_marks_and_numerals(spark, docs):
+    assert words_of("Ⅷ ²½ 123 _ !") == [] and words_of("हिन्दी भाषा, l'ÉTÉ x9") == ["हिन्दी", "भाषा", "l", "été", "x"]
+    rows = spark.createDataFrame([(1, "²½ 123"), (2, "Ⅷ"), (3, "\u0301\u0302")], "doc_id long, text string")
+    assert {(r["lang_pred"], r["score"], r["certainty"]) for r in label_language(rows, fit_language(docs)).collect()} == {("und", 0.0, 0.0)}
+
+
+def test_a_text_of_all_languages_is_certain(spark, docs):
+    model = fit_language(docs)
+    by = {r["lang"]: r["text"] for r in docs.where("lang is not null and length(text) between 600 and 1500").orderBy("doc_id").collect()}
+    assert len(by) >= 3
+    mixed = " ".join(" ".join(by[x].split()[:60]) for x in sorted(by))
+    found = label_language(spark.createDataFrame([(1, mixed)], "doc_id long, text string"), model)
+    row = found.first()
+    assert row["score"] < 0.6 and row["certainty"] > 0.8
+    assert label_language(found.select("doc_id", "text"), model, least_certainty=0.6).count() == 1
+
+
+def test_training_keeps_to_its_bytes(docs):
+    assert fit_language(docs, how=FieldTraining(sample_bytes=10)).langs == []
+    assert len(fit_language(docs, how=FieldTraining(sample_bytes=200_000)).langs) > 1

@@ -160,8 +160,19 @@ def map_text(
     return source.mapInArrow(run, schema)
 
 
-def string_column(values: list) -> pa.Array:
-    return pa.array(values, pa.string())
+#: Most UTF-8 bytes of texts that training takes to the driver.
+SAMPLE_BYTES = 64 << 20
+
+
+def within_bytes(rows: list[tuple], most: int) -> list:
+    """Keys of (key, bytes) rows, in their order, as long as all of them together have at most `most` bytes; a row that would
+    pass it is left out and smaller ones after it may stay."""
+    kept, held = [], 0
+    for key, size in rows:
+        if held + size <= most:
+            kept.append(key)
+            held += size
+    return kept
 
 
 def distinct_ids(words: list) -> tuple[np.ndarray, list]:

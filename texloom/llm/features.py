@@ -1,6 +1,6 @@
 """Hashed letter features of many words at once, as numpy arrays.
 
-A word is a run of letters in lower case. Its code points are one stretch of a long array; the hash of an
+A word is a run of letters in lower case; combining marks belong to the letter before them, numerals are no letters. Its code points are one stretch of a long array; the hash of an
 n-gram, of a prefix or suffix, or of the whole word is arithmetic modulo 2**32 on that array, so no
 Python runs a word at a time.
 """
@@ -10,15 +10,18 @@ from __future__ import annotations
 import re
 
 import numpy as np
+import regex
 
 from texloom.llm.common import starts_of
 
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+_PLAIN_LETTERS = re.compile(r"[a-z]+")
 _M1, _M2 = np.uint32(0x9E3779B1), np.uint32(0x85EBCA6B)
 
 
 def words_of(text: str) -> list[str]:
-    return LETTERS.findall(text.lower())
+    text = text.lower()
+    return (_PLAIN_LETTERS if text.isascii() else LETTERS).findall(text)
 
 
 def _mix(h: np.ndarray, x: np.ndarray | np.uint32) -> np.ndarray:

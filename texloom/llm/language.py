@@ -1,19 +1,20 @@
 """Language of words and texts by a linear-chain conditional random field (operator 2).
 
-Words are runs of letters. A word's features are its affixes (first and last one to four letters), its
+Words are runs of letters with their combining marks. A word's features are its affixes (first and last one to four letters), its
 2- to 4-grams and its identity in a lexicon learned with the model, all hashed into one table of weights
 a language; between neighbouring words the model has learned transitions. Forward-backward over the
 whole text gives each word a probability of each language, so a text that changes its language is
 labelled word by word. The text's language is the one with the largest summed probability, its score
-the mean probability.
+the mean probability. Its certainty is the mean of each word's largest probability: how surely its words are in
+some language, whether one or several.
 
-Training takes a bounded sample of labelled rows (FieldTraining.sample_docs): those with the smallest hash
+Training takes a bounded sample of labelled rows (FieldTraining.sample_docs and sample_bytes): those with the smallest hash
 of their id. Only whole texts and labels are given, so stretches of differently labelled texts are joined
 to show the model changes of language. Scoring keeps weights (size fixed by FieldTraining.buckets) and a
 batch of texts in memory.
 
 Defined results: a text that is null or has no letters, and every text where nothing could be learned, has
-`und`, score 0 and no words; texts of any length are read whole; among equally probable languages the
+`und`, score and certainty 0 and no words; texts of any length are read whole; among equally probable languages the
 first by code point wins; equal rows give equal results; an input column named like a result gives way to
 it; an empty table gives an empty result.
 """
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texloom.llm.common import distinct_ids, map_text, starts_of, worker_cache
+from texloom.llm.common import SAMPLE_BYTES, distinct_ids, map_text, starts_of, within_bytes, worker_cache
 from texloom.llm.features import WordCodes, words_of
 
 UNKNOWN = "und"
@@ -38,15 +39,18 @@ FIELDS = [
     T.StructField("lang_pred", T.StringType()),
     T.StructField("score", T.DoubleType()),
     T.StructField("n_changes", T.LongType()),
+    T.StructField("certainty", T.DoubleType()),
 ]
 SPANS = T.StructField("lang_spans", T.ArrayType(T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])))
 
 
 @dataclass(frozen=True)
 class FieldTraining:
-    """sample_docs: most labelled rows that training reads. stretch: words of one language in a row."""
+    """sample_docs, sample_bytes: most labelled rows, and bytes of their texts, that training reads. stretch: words of one
+    language in a row."""
 
     sample_docs: int = 1200
+    sample_bytes: int = SAMPLE_BYTES
     buckets: int = 1 << 17
     stretch: int = 30
     rounds: int = 3
@@ -196,23 +200,31 @@ def train_field(texts: list[str], labels: list[str], how: FieldTraining) -> Lang
     return model
 
 
-def sample_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int) -> list:
-    """At most `most` labelled rows with a text: those with the smallest hash of their id. Ids are chosen before texts are read."""
+def sample_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, most: int, most_bytes: int) -> list:
+    """At most `most` labelled rows with a text: those with the smallest hash of their id, less what would pass `most_bytes`.
+    Ids and sizes are chosen before texts are read."""
     spark = docs.sparkSession
     order = [F.xxhash64(F.lit("sample"), F.col(id_col)), F.col(id_col)]
-    ids = [r[0] for r in docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).select(id_col).orderBy(*order).limit(most).collect()]
+    labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
+    ids = within_bytes([tuple(r) for r in labelled.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0))).orderBy(*order, text_col).limit(most).collect()], most_bytes)
     if not ids:
         return []
     chosen = spark.createDataFrame([(i,) for i in sorted(set(ids))], T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]))
     rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, label_col)
-    found = rows.join(F.broadcast(chosen), id_col).orderBy(*order, text_col, label_col).limit(most).collect()
-    return [(r[text_col], r[label_col]) for r in found]
+    # a repeated id may bring more rows than were chosen: no more than the bounds
+    found = rows.join(F.broadcast(chosen), id_col).orderBy(*order, text_col, label_col).limit(most).toLocalIterator()
+    out, held = [], 0
+    for r in found:
+        if (held := held + len(r[text_col].encode())) > most_bytes:
+            break
+        out.append((r[text_col], r[label_col]))
+    return out
 
 
 def fit_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", how: FieldTraining | None = None) -> LanguageField:
     """Train on a bounded sample of the labelled rows of docs."""
     how = how or FieldTraining()
-    rows = sample_rows(docs, id_col, text_col, lang_col, how.sample_docs)
+    rows = sample_rows(docs, id_col, text_col, lang_col, how.sample_docs, how.sample_bytes)
     return train_field([t for t, _ in rows], [str(x) for _, x in rows], how)
 
 
@@ -224,25 +236,27 @@ def _of_texts(texts: list[list[str]], model: LanguageField) -> np.ndarray:
     return packed.posteriors(scores[ids], model.start, model.moves)[0]
 
 
-def label_language(docs: DataFrame, model: LanguageField, text_col: str = "text", keep: list[str] | None = None, spans: bool = False, least_score: float | None = None) -> DataFrame:
-    """Append FIELDS (with spans, the runs of words by language), or with least_score keep only the rows whose text has
-    a language of at least that score."""
-    fields = [*FIELDS, T.StructField("accepted", T.BooleanType())] if least_score is not None else [*FIELDS, SPANS] if spans else FIELDS
+def label_language(docs: DataFrame, model: LanguageField, text_col: str = "text", keep: list[str] | None = None, spans: bool = False, least_score: float | None = None, least_certainty: float | None = None) -> DataFrame:
+    """Append FIELDS (with spans, the runs of words by language), or with least_score or least_certainty keep only the rows whose
+    text has a language and at least that score and certainty."""
+    chosen = least_score is not None or least_certainty is not None
+    fields = [*FIELDS, T.StructField("accepted", T.BooleanType())] if chosen else [*FIELDS, SPANS] if spans else FIELDS
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.weights, model.start, model.moves))
 
     def make():
         worker_cache("language")
         own = LanguageField(*shared.value)
 
-        def some(texts: list[list[str]]) -> tuple[list, list, list, list]:
+        def some(texts: list[list[str]]) -> tuple[list, list, list, list, list]:
             bounds = starts_of(np.fromiter(map(len, texts), np.int64, len(texts)))
             if not own.langs or not bounds[-1]:
-                return [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [[]] * len(texts)
+                return [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [0.0] * len(texts), [[]] * len(texts)
             gamma = _of_texts(texts, own)
             full = np.nonzero(np.diff(bounds))[0]
             sums = np.add.reduceat(gamma.astype(np.float64), bounds[full], axis=0)
             best = sums.argmax(axis=1)
-            langs, scores, changes, runs = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [[]] * len(texts)
+            sure = np.add.reduceat(gamma.max(axis=1).astype(np.float64), bounds[full])
+            langs, scores, changes, certain, runs = [UNKNOWN] * len(texts), [0.0] * len(texts), [0] * len(texts), [0.0] * len(texts), [[]] * len(texts)
             label = gamma.argmax(axis=1)
             turn = np.zeros(len(label), np.int64)
             turn[1:] = label[1:] != label[:-1]
@@ -252,14 +266,15 @@ def label_language(docs: DataFrame, model: LanguageField, text_col: str = "text"
                 langs[i] = own.langs[best[j]]
                 scores[i] = min(1.0, float(sums[j, best[j]] / (bounds[i + 1] - bounds[i])))
                 changes[i] = int(turns[j])
+                certain[i] = min(1.0, float(sure[j] / (bounds[i + 1] - bounds[i])))
                 if spans:
                     part = label[bounds[i] : bounds[i + 1]]
                     cut = [0, *(np.nonzero(np.diff(part))[0] + 1).tolist(), len(part)]
                     runs[i] = [{"lang": own.langs[part[a]], "start": a, "end": b} for a, b in zip(cut, cut[1:], strict=False)]
-            return langs, scores, changes, runs
+            return langs, scores, changes, certain, runs
 
         def work(column: pa.Array) -> list[pa.Array]:
-            out: tuple[list, list, list, list] = ([], [], [], [])
+            out: tuple[list, ...] = ([], [], [], [], [])
             part, n = [], 0
             texts = column.to_pylist()
             for i, text in enumerate(texts):
@@ -269,14 +284,15 @@ def label_language(docs: DataFrame, model: LanguageField, text_col: str = "text"
                     for whole, found in zip(out, some(part), strict=True):
                         whole += found
                     part, n = [], 0
-            langs, scores, changes, runs = out
-            made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(changes, pa.int64())]
-            if least_score is not None:
-                made.append(pa.array([x != UNKNOWN and s >= least_score for x, s in zip(langs, scores, strict=True)], pa.bool_()))
+            langs, scores, changes, certain, runs = out
+            made = [pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(changes, pa.int64()), pa.array(certain, pa.float64())]
+            if chosen:
+                enough = [x != UNKNOWN and s >= (least_score or 0) and c >= (least_certainty or 0) for x, s, c in zip(langs, scores, certain, strict=True)]
+                made.append(pa.array(enough, pa.bool_()))
             elif spans:
                 made.append(pa.array(runs, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
             return made
 
         return work
 
-    return map_text(docs, text_col, fields, make, keep, "accepted" if least_score is not None else None)
+    return map_text(docs, text_col, fields, make, keep, "accepted" if chosen else None)

@@ -45,7 +45,7 @@ def op2_language_field(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     model = fit_language(docs.where(~held_out(F.col("doc_id"))))
     rows = label_language(docs.select("doc_id", "text"), model, keep=["doc_id"])
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_changes")
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "n_changes", "certainty")
 
 
 def op3_prefix_tokens(spark: SparkSession, sf_dir: str, vocabulary: str | None = None) -> DataFrame:

@@ -7,9 +7,10 @@ five letters; only features that go with toxic rows beyond chance have weights.
 probability of any toxicity P(grade > 0), and the verdict.
 
 Labels say toxic or not. The grades of toxic rows of the training sample follow how many distinct words
-they have that mark toxic rows (by document frequency, smoothed log odds): thirds of them are grades 1 to 3.
+they have that mark toxic rows (by document frequency, smoothed log odds): thirds of them are grades 1 to 3. The marks
+of a row are learned from the other half of the sample, so a row's grade doesn't rest on its own words' counts.
 
-Training takes a bounded sample of labelled rows (OrdinalTraining.sample_docs, half of them toxic where
+Training takes a bounded sample of labelled rows (OrdinalTraining.sample_docs and sample_bytes, half of them toxic where
 there are as many): those with the smallest hash of their id. Scoring keeps one table of weights (a size
 fixed by OrdinalTraining.buckets) and a batch of texts in memory.
 
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texloom.llm.common import distinct_ids, map_text, segment_sums, starts_of, worker_cache
+from texloom.llm.common import SAMPLE_BYTES, distinct_ids, map_text, segment_sums, starts_of, within_bytes, worker_cache
 from texloom.llm.features import WordCodes, words_of
 
 BATCH_WORDS = 400_000
@@ -44,9 +45,10 @@ FIELDS = [
 
 @dataclass(frozen=True)
 class OrdinalTraining:
-    """sample_docs: most labelled rows that training reads."""
+    """sample_docs, sample_bytes: most labelled rows, and bytes of their texts, that training reads."""
 
     sample_docs: int = 3000
+    sample_bytes: int = SAMPLE_BYTES
     buckets: int = 1 << 18
     grades: int = 3
     least_docs: int = 2
@@ -86,6 +88,34 @@ def _distinct(texts: list[str | None]) -> tuple[list[str], np.ndarray]:
     return [w for s in sets for w in s], starts_of(np.fromiter(map(len, sets), np.int64, len(sets)))
 
 
+def _odds(pair: np.ndarray, toxic: np.ndarray, rows: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the given rows: toxic ones and all that have each bucket, and its smoothed log odds. pair: row * buckets + bucket."""
+    owner = pair // buckets
+    own = pair[rows[owner]]
+    in_toxic = np.bincount(own[toxic[own // buckets]] % buckets, minlength=buckets)
+    in_all = np.bincount(own % buckets, minlength=buckets)
+    y = toxic & rows
+    return in_toxic, in_all, np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_all - in_toxic + 0.5) / ((rows & ~toxic).sum() + 1))
+
+
+def loss_and_slopes(beta: np.ndarray, theta: np.ndarray, row: np.ndarray, column: np.ndarray, grade: np.ndarray, weight: np.ndarray, ridge: float) -> tuple[float, np.ndarray, np.ndarray]:
+    """Weighted negative log likelihood with a ridge on beta, and its derivatives by beta and theta.
+
+    row, column: the sparse features of the texts; grade: each text's, 0 to len(theta).
+    """
+    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
+    k = len(theta)
+    low, high = np.maximum(grade - 1, 0), np.minimum(grade, k - 1)
+    s = np.bincount(row, beta[column], len(grade))
+    upper = np.where(grade < k, logistic(theta[high] - s), 1.0)
+    lower = np.where(grade > 0, logistic(theta[low] - s), 0.0)
+    p = np.maximum(upper - lower, 1e-12)
+    up, down = weight * upper * (1 - upper) / p, weight * lower * (1 - lower) / p
+    slope = np.bincount(column, (up - down)[row], len(beta)) + ridge * beta
+    bend = np.bincount(low[grade > 0], down[grade > 0], k) - np.bincount(high[grade < k], up[grade < k], k)
+    return float(-(weight * np.log(p)).sum() + ridge / 2 * (beta @ beta)), slope, bend
+
+
 def train_ordinal(texts: list[str], toxic: list[bool], how: OrdinalTraining) -> OrdinalModel:
     """Maximum likelihood with a ridge, by AdaGrad over all rows."""
     y = np.array(toxic, bool)
@@ -96,11 +126,12 @@ def train_ordinal(texts: list[str], toxic: list[bool], how: OrdinalTraining) ->
     features = _buckets(vocabulary, how.buckets)[ids]
     doc = np.repeat(np.arange(len(texts)), np.diff(bounds))
     pair = np.unique(np.repeat(doc, features.shape[1]) * how.buckets + features.ravel())
-    in_toxic = np.bincount(pair[y[pair // how.buckets]] % how.buckets, minlength=how.buckets)
-    in_all = np.bincount(pair % how.buckets, minlength=how.buckets)
-    odds = np.log((in_toxic + 0.5) / (y.sum() + 1)) - np.log((in_all - in_toxic + 0.5) / ((~y).sum() + 1))
-    marked = (odds > how.marks_at)[features].any(axis=1)
-    marks = np.bincount(doc[marked], minlength=len(texts))
+    in_toxic, in_all, odds = _odds(pair, y, np.ones(len(y), bool), how.buckets)
+    marks = np.zeros(len(texts), np.int64)
+    half = np.arange(len(texts)) % 2 == 0
+    for own in (half, ~half):
+        marked = (_odds(pair, y, ~own, how.buckets)[2] > how.marks_at)[features].any(axis=1)
+        marks += np.bincount(doc[marked], minlength=len(texts)) * own
     cuts = np.unique(np.quantile(marks[y], np.arange(1, how.grades) / how.grades))
     grade = np.where(y, 1 + np.searchsorted(cuts, marks, side="left"), 0)
     present = np.unique(grade)
@@ -119,17 +150,8 @@ def train_ordinal(texts: list[str], toxic: list[bool], how: OrdinalTraining) ->
     share = np.cumsum(np.bincount(grade, weight))[:-1]
     theta = np.log(share / (1 - share))
     theta_square = np.full(k, 1e-6)
-    logistic = lambda x: 1 / (1 + np.exp(-np.clip(x, -60, 60)))
-    low, high = np.maximum(grade - 1, 0), np.minimum(grade, k - 1)
     for _ in range(how.rounds):
-        s = np.bincount(row, beta[column], len(texts))
-        upper = np.where(grade < k, logistic(theta[high] - s), 1.0)
-        lower = np.where(grade > 0, logistic(theta[low] - s), 0.0)
-        p = np.maximum(upper - lower, 1e-12)
-        up, down = upper * (1 - upper) / p, lower * (1 - lower) / p
-        slope = np.bincount(column, (weight * (up - down))[row], len(used)) + how.ridge * beta
-        down, up = weight * down, weight * up
-        bend = np.bincount(low[grade > 0], down[grade > 0], k) - np.bincount(high[grade < k], up[grade < k], k)
+        _, slope, bend = loss_and_slopes(beta, theta, row, column, grade, weight, how.ridge)
         square += slope * slope
         theta_square += bend * bend
         beta -= how.rate * slope / np.sqrt(square)
@@ -144,18 +166,25 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     """Train on a bounded sample of labelled rows of docs. Labels are read first; texts only of the chosen ids."""
     how = how or OrdinalTraining()
     known = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg((F.max(label_col) > 0).alias("y"))
+    spark = docs.sparkSession
+    pick = lambda name: [F.xxhash64(F.lit(name), F.col(id_col)), F.col(id_col)]
     chosen: dict = {}
     for value in (True, False):
-        rows = known.where(F.col("y") == value).orderBy(F.xxhash64(F.lit("sample"), F.col(id_col)), id_col).limit(how.sample_docs // 2).collect()
+        rows = known.where(F.col("y") == value).orderBy(*pick("sample")).limit(how.sample_docs // 2).collect()
         chosen |= {r[0]: value for r in rows}
     if not chosen:
         return OrdinalModel()
-    spark = docs.sparkSession
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.BooleanType())])
-    few = spark.createDataFrame(sorted(chosen.items()), schema)
-    rows = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col).join(F.broadcast(few), id_col)
-    found = rows.orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(how.sample_docs).collect()
-    return train_ordinal([r[text_col] for r in found], [r["y"] for r in found], how)
+    texts = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)
+    sizes = texts.join(F.broadcast(spark.createDataFrame(sorted(chosen.items()), schema)), id_col).select(id_col, F.octet_length(text_col))
+    ids = set(within_bytes([tuple(r) for r in sizes.orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(how.sample_docs).collect()], how.sample_bytes))
+    few = spark.createDataFrame(sorted((i, y) for i, y in chosen.items() if i in ids), schema)
+    found, held = [], 0
+    for r in texts.join(F.broadcast(few), id_col).orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(how.sample_docs).toLocalIterator():
+        if (held := held + len(r[text_col].encode())) > how.sample_bytes:
+            break
+        found.append((r[text_col], r["y"]))
+    return train_ordinal([t for t, _ in found], [y for _, y in found], how)
 
 
 def grade_toxicity(docs: DataFrame, model: OrdinalModel, text_col: str = "text", keep: list[str] | None = None, toxic_at: float = 0.5, only_clean: bool = False) -> DataFrame:
