@@ -22,8 +22,9 @@ from texloom.llm.pieces import encode_decode
 from texloom.llm.queries import PIECE_FILE, tokenizer_path
 from texloom.llm.toxicity import fit_toxicity, grade_toxicity
 
-#: A text of which no language has this mean probability is in none of the languages learned.
-LEAST_LANGUAGE_SCORE = 0.4
+#: A text whose words have, each in its likeliest language, no such mean probability is in none of the languages learned.
+#: A text that changes its language stays, however evenly.
+LEAST_CERTAINTY = 0.4
 #: The last stage's workers live beside heaps that the joins before have grown; they keep fewer words than the lone query.
 PIPELINE_CACHE_WORDS = 150_000
 
@@ -36,7 +37,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language."""
-    return label_language(docs, fit_language(docs), least_score=LEAST_LANGUAGE_SCORE)
+    return label_language(docs, fit_language(docs), least_certainty=LEAST_CERTAINTY)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
