@@ -69,3 +69,21 @@ def test_extra_columns_and_empty(spark, pages):
     more = pages.withColumn("sha1", F.lit("mine")).withColumn("keeper", F.lit(1))
     assert len(records(spark, more)[1]) == len(PAGES)
     assert records(spark, pages.limit(0))[1] == []
+
+
+def test_payload_of_several_chunks_and_odd_names(spark):
+    big = "".join(f"line {i} é\n" for i in range(230_000))
+    rows = [("null", "http://a", "x"), (None, "http://b", "y"), ("a>b\r\nC: d %20", "http://c", big), ("z", "http://d", big), ("a", "http://e", big[:-1])]
+    pages = spark.createDataFrame(rows, "page_id string, url string, html string")
+    manifest = warc.write_archives(warc.chunk_rows(pages, "page_id", "url", "html"), fresh_path(spark, "warc-test"))
+    found = {r["record_id"]: r for r in warc.read_records(manifest).collect()}
+    assert set(found) == {r[0] for r in rows} and all(r["digest_ok"] for r in found.values())
+    assert found["a>b\r\nC: d %20"]["refers_to"] == "z" and found["z"]["payload_bytes"] == len(big.encode()) > 2 * warc.CHUNK
+    chunks = warc.read_chunks(manifest).where("record_id = 'z'").orderBy("chunk_no").collect()
+    assert len(chunks) >= 3 and b"".join(bytes(c["chunk"]) for c in chunks).decode() == big
+
+
+def test_no_array_of_chunks_is_built(spark, pages):
+    """The plan cuts a chunk at a time: chunk numbers are exploded, not chunks."""
+    plan = warc.chunk_rows(pages, "page_id", "url", "html")._jdf.queryExecution().executedPlan().toString()
+    assert "explode(sequence" in plan and "transform(" not in plan

@@ -6,14 +6,14 @@ an incremental SHA-1, so no record is held whole, however long.
 
 Of records with equal payloads the one with the largest id is a response, the others revisit it (payloads
 shorter than `revisit_from` bytes are always responses). Ids of groups come from an aggregate joined by
-digest, which the engine splits where one payload has many rows.
+digest; those of payloads with many rows (at most KEY_SHARE) go to the rows, so no payload is a hot key.
 
 A task writes its own files, named by its attempt; the manifest lists those of committed attempts only, so a
 lost executor leaves an unlisted file, never a doubled record. Files go through pyarrow's file systems
 (file, hdfs, s3, gs) below the cluster's shared folder.
 
-Defined results: a null payload is empty; null ids and null addresses are kept (a null id's record is named
-`null`); rows that repeat the largest id of a payload are all responses; records come back in any order; an
+Defined results: a null payload is empty; null ids and null addresses are kept (a null id's record has a name
+of its own, unlike any id's); rows that repeat the largest id of a payload are all responses; records come back in any order; an
 empty table gives no archive and an empty result; columns other than id, address and payload are not read.
 """
 
@@ -23,6 +23,7 @@ import base64
 import hashlib
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 import pyarrow as pa
 from pyarrow import fs
@@ -31,12 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from texloom.llm.common import fresh_path, limit_batches, shared_dir
+from texloom.llm.common import fresh_path, join_by_key, limit_batches, shared_dir
 
 CHUNK, FILE_BYTES, READ_BYTES = 1 << 20, 256 << 20, 1 << 18
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-NAME = "urn:x-record:"
+#: Names of records: of an id, percent-escaped, and of a null id.
+NAME, NO_NAME = "urn:x-record:", "urn:x-no-record:"
 
 MANIFEST = T.StructType([T.StructField("path", T.StringType()), T.StructField("records", T.LongType()), T.StructField("bytes", T.LongType())])
 RECORD = T.StructType(
@@ -70,6 +72,10 @@ def _line(value: str) -> str:
     return "".join(c if c >= " " and c != "\x7f" else f"%{ord(c):02X}" for c in value)
 
 
+def _name(value: str | None) -> str:
+    return NO_NAME if value is None else NAME + quote(value, safe="")
+
+
 class _Archive:
     """A file of gzip members."""
 
@@ -105,14 +111,21 @@ def chunk_rows(pages: DataFrame, id_col: str, url_col: str, payload_col: str, re
     payload = F.coalesce(F.col(f"`{payload_col}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload"))
-    last = rows.where(F.col("bytes") >= revisit_from).groupBy("sha1").agg(F.max("id").alias("keeper"))
-    rows = rows.join(last, "sha1", "left")
-    keeper = F.when((F.col("bytes") >= revisit_from) & ~F.col("id").eqNullSafe(F.col("keeper")), F.col("keeper").cast("string"))
-    body = F.when(keeper.isNull(), F.col("payload")).otherwise(F.lit(b""))
-    rows = rows.select("id", "url", "sha1", "bytes", keeper.alias("keeper"), body.alias("body"))
-    count = F.greatest(F.ceil(F.octet_length("body") / chunk), F.lit(1)).cast("int")
-    parts = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(F.col("body"), i * chunk + 1, F.lit(chunk)))
-    return rows.select(F.col("id").cast("string").alias("record_id"), "url", "sha1", "bytes", "keeper", count.alias("chunks"), F.posexplode(parts).alias("chunk_no", "chunk"))
+    grouped = F.col("bytes") >= revisit_from
+    last = rows.where(grouped).groupBy("sha1").agg(F.max("id").alias("keeper"), F.count(F.lit(1)).alias("n"))
+    own = join_by_key(rows.where(grouped), last, "sha1")
+    keeper = F.when(~F.col("id").eqNullSafe(F.col("keeper")), F.col("keeper").cast("string"))
+    rows = own.select("id", "url", "sha1", "bytes", keeper.alias("keeper"), "payload")
+    if revisit_from > 0:
+        short = pages.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{url_col}`").cast("string").alias("url"), payload.alias("payload"))
+        short = short.withColumn("bytes", F.octet_length("payload").cast("long")).withColumn("sha1", F.sha1("payload")).where(~grouped)
+        rows = rows.unionByName(short.select("id", "url", "sha1", "bytes", F.lit(None).cast("string").alias("keeper"), "payload"))
+    # a record becomes a row a chunk, each cut out when it is asked for: beside the payload there is one chunk at a time
+    count = F.when(F.col("keeper").isNull(), F.greatest(F.ceil(F.col("bytes") / chunk), F.lit(1))).otherwise(F.lit(1)).cast("int")
+    part = F.when(F.col("keeper").isNull(), F.substring(F.col("payload"), F.col("chunk_no") * chunk + 1, F.lit(chunk))).otherwise(F.lit(b""))
+    rows = rows.select("id", "url", "sha1", "bytes", "keeper", "payload", count.alias("chunks"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk_no"))
+    return rows.select(F.col("id").cast("string").alias("record_id"), "url", "sha1", "bytes", "keeper", "chunks", "chunk_no", part.alias("chunk"))
 
 
 def write_archives(chunks: DataFrame, folder: str, file_bytes: int = FILE_BYTES) -> DataFrame:
@@ -133,9 +146,9 @@ def write_archives(chunks: DataFrame, folder: str, file_bytes: int = FILE_BYTES)
                     archive.begin()
                     digest = hashlib.sha1()
                     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode()
-                    head = ["WARC/1.1", f"WARC-Type: {'response' if keeper is None else 'revisit'}", f"WARC-Record-ID: <{NAME}{'null' if name is None else name}>", f"WARC-Date: {DATE}"]
+                    head = ["WARC/1.1", f"WARC-Type: {'response' if keeper is None else 'revisit'}", f"WARC-Record-ID: <{_name(name)}>", f"WARC-Date: {DATE}"]
                     head += [f"WARC-Target-URI: {_line(url)}"] if url is not None else []
-                    head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{NAME}{keeper}>"] if keeper is not None else []
+                    head += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <{_name(keeper)}>"] if keeper is not None else []
                     head += [f"WARC-Payload-Digest: sha1:{base32_sha1(bytes.fromhex(sha1))}", "Content-Type: application/http; msgtype=response"]
                     head += [f"Content-Length: {len(http) + (size if keeper is None else 0)}", "", ""]
                     archive.write("\r\n".join(head).encode() + http)
@@ -205,10 +218,8 @@ def _headers(block: bytes) -> dict[str, str]:
 
 
 def _record_name(value: str | None) -> str | None:
-    if value is None:
-        return None
-    name = value.strip("<>").removeprefix(NAME)
-    return None if name == "null" else name
+    name = "" if value is None else value.strip("<>")
+    return unquote(name.removeprefix(NAME)) if name.startswith(NAME) else None
 
 
 def records_of(path: str, chunk: int = CHUNK) -> Iterator[tuple[dict, Iterator[bytes]]]:
