@@ -206,7 +206,9 @@ def sample_rows(docs: DataFrame, id_col: str, text_col: str, label_col: str, mos
     spark = docs.sparkSession
     order = [F.xxhash64(F.lit("sample"), F.col(id_col)), F.col(id_col)]
     labelled = docs.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull())
-    ids = within_bytes([tuple(r) for r in labelled.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0))).orderBy(*order, text_col).limit(most).collect()], most_bytes)
+    # sorted by short columns, or each task's first texts would go to the driver
+    sizes = labelled.select(id_col, F.coalesce(F.octet_length(text_col), F.lit(0)).alias("__size")).orderBy(*order, "__size")
+    ids = within_bytes([tuple(r) for r in sizes.limit(most).collect()], most_bytes)
     if not ids:
         return []
     chosen = spark.createDataFrame([(i,) for i in sorted(set(ids))], T.StructType([T.StructField(id_col, docs.schema[id_col].dataType)]))

@@ -176,8 +176,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
         return OrdinalModel()
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("y", T.BooleanType())])
     texts = docs.where(F.col(text_col).isNotNull()).select(id_col, text_col)
-    sizes = texts.join(F.broadcast(spark.createDataFrame(sorted(chosen.items()), schema)), id_col).select(id_col, F.octet_length(text_col))
-    ids = set(within_bytes([tuple(r) for r in sizes.orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(how.sample_docs).collect()], how.sample_bytes))
+    sizes = texts.join(F.broadcast(spark.createDataFrame(sorted(chosen.items()), schema)), id_col).select(id_col, F.octet_length(text_col).alias("__size"))
+    ids = set(within_bytes([tuple(r) for r in sizes.orderBy(F.xxhash64(F.col(id_col)), id_col, "__size").limit(how.sample_docs).collect()], how.sample_bytes))
     few = spark.createDataFrame(sorted((i, y) for i, y in chosen.items() if i in ids), schema)
     found, held = [], 0
     for r in texts.join(F.broadcast(few), id_col).orderBy(F.xxhash64(F.col(id_col)), id_col, text_col).limit(how.sample_docs).toLocalIterator():
