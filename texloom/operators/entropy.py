@@ -5,6 +5,7 @@ Histograms are aggregated by the engine; only tables of a bounded alphabet (MOST
 
 from __future__ import annotations
 
+import binascii
 import heapq
 import zlib
 from collections.abc import Iterator
@@ -70,29 +71,39 @@ def code_table(rows: DataFrame, keys: list[str], symbol: str, most: int) -> Data
     return counted.groupBy(*keys).applyInPandas(build, schema)
 
 
-def reorder_palette(pairs: DataFrame) -> DataFrame:
-    """(symbol, place) from counted pairs (a, b, n): begin with the most frequent pair, then put the symbol with the most
-    pairs to those placed on the end whose neighbourhood it is nearer to."""
+#: Pairs of a palette that reach the driver.
+MOST_PAIRS = MOST_SYMBOLS * 64
+
+
+def reorder_palette(pairs: DataFrame, symbols: DataFrame | None = None) -> DataFrame:
+    """(symbol, place) from counted pairs (a, b, n) and all symbols (a column; those in pairs if not given).
+
+    The two-ended greedy order of palettes: begin with the most frequent pair, then put the symbol with the most pairs to
+    those placed on the end whose neighbourhood it is nearer to. Symbols without a neighbour come last, in their order.
+    More than MOST_PAIRS pairs or MOST_SYMBOLS symbols raise.
+    """
     spark = pairs.sparkSession
     kind = pairs.schema["a"].dataType
-    table = pairs.where("a <> b").orderBy("a", "b").limit(MOST_SYMBOLS * 64).collect()
-    n: dict = {}
-    for r in table:
-        n[r["a"], r["b"]] = r["n"]
-    symbols = sorted({s for pair in n for s in pair})
+    table = pairs.where("a <> b").limit(MOST_PAIRS + 1).collect()
+    known = pairs.selectExpr("explode(array(a, b)) as s") if symbols is None else symbols.select(F.col(symbols.columns[0]).alias("s"))
+    found = [r[0] for r in known.where("s is not null").distinct().limit(MOST_SYMBOLS + 1).collect()]
+    if len(table) > MOST_PAIRS or len(found) > MOST_SYMBOLS:
+        raise ValueError(f"a palette has at most {MOST_SYMBOLS} symbols and {MOST_PAIRS} pairs")
+    n: dict = {(r["a"], r["b"]): r["n"] for r in table}
+    todo = sorted({s for pair in n for s in pair} | set(found))
     placed: list = []
     if n:
         placed = list(max(sorted(n), key=lambda p: n[p]))
-        todo = [s for s in symbols if s not in placed]
-        toward = {s: sum(n.get((s, p), 0) for p in placed) for s in todo}
-        while todo:
-            best = max(todo, key=lambda s: toward[s])
-            todo.remove(best)
-            half = len(placed) - 1
-            lean = sum(n.get((best, p), 0) * (half - 2 * i) for i, p in enumerate(placed))
-            placed = [best, *placed] if lean > 0 else [*placed, best]
-            for s in todo:
-                toward[s] += n.get((s, best), 0)
+        todo = [s for s in todo if s not in placed]
+    toward = {s: sum(n.get((s, p), 0) for p in placed) for s in todo}
+    while todo:
+        best = max(todo, key=lambda s: toward[s])
+        todo.remove(best)
+        half = len(placed) - 1
+        lean = sum(n.get((best, p), 0) * (half - 2 * i) for i, p in enumerate(placed))
+        placed = [best, *placed] if lean > 0 else [*placed, best]
+        for s in todo:
+            toward[s] += n.get((s, best), 0)
     schema = T.StructType([T.StructField("symbol", kind), T.StructField("place", T.IntegerType())])
     return spark.createDataFrame([(s, i) for i, s in enumerate(placed)], schema)
 
@@ -142,23 +153,7 @@ def deflate_sizes(df: DataFrame, key: str, data: str, level: int = 6) -> DataFra
 
 def crc16_of(raw: bytes, start: int = 0) -> int:
     """CRC with polynomial 0x1021, high bit first, inverted before and after."""
-    crc = ~start & 0xFFFF
-    for byte in raw:
-        crc = (crc << 8 & 0xFFFF) ^ _CRC16[(crc >> 8) ^ byte]
-    return ~crc & 0xFFFF
-
-
-def _crc16_table() -> list[int]:
-    out = []
-    for i in range(256):
-        c = i << 8
-        for _ in range(8):
-            c = (c << 1 ^ 0x1021 if c & 0x8000 else c << 1) & 0xFFFF
-        out.append(c)
-    return out
-
-
-_CRC16 = _crc16_table()
+    return binascii.crc_hqx(raw, ~start & 0xFFFF) ^ 0xFFFF
 
 
 def crc16(df: DataFrame, key: str, data: str) -> DataFrame:

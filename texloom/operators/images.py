@@ -61,11 +61,12 @@ def swizzle(pixels: DataFrame, channels: list[str], source: list[str]) -> DataFr
     return pixels.select(*rest, *[F.col(s).alias(c) for c, s in zip(channels, source, strict=True)])
 
 
-def blit(target: DataFrame, source: DataFrame, dx: int, dy: int, channels: list[str]) -> DataFrame:
-    """source drawn over target with its origin at (dx, dy)."""
-    moved = source.select((F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *[F.col(c).alias(f"__{c}") for c in channels])
-    joined = target.join(moved, ["x", "y"], "left")
-    return joined.select("x", "y", *[F.coalesce(f"__{c}", c).alias(c) for c in channels])
+def blit(target: DataFrame, source: DataFrame, dx: int, dy: int, channels: list[str], keys: list[str] | None = None) -> DataFrame:
+    """source drawn over target with its origin at (dx, dy); with keys, over the picture of the same keys."""
+    keys = keys or []
+    moved = source.select(*keys, (F.col("x") + dx).alias("x"), (F.col("y") + dy).alias("y"), *[F.col(c).alias(f"__{c}") for c in channels])
+    joined = target.join(moved, [*keys, "x", "y"], "left")
+    return joined.select(*keys, "x", "y", *[F.coalesce(f"__{c}", c).alias(c) for c in channels])
 
 
 def kernel(name: str, t: float) -> float:
@@ -97,7 +98,7 @@ def kernel(name: str, t: float) -> float:
         return math.exp(-2 * t * t) * math.sqrt(2 / math.pi) * window(t / SUPPORT[name])
     if name == "kaiser":
         above = 40.0 - 20.96
-        alpha = math.exp(math.log(0.58417 * above) * 0.4) + 0.07886 * above
+        alpha = (0.58417 * above) ** 0.4 + 0.07886 * above
         bessel = lambda x: sum((x / 2) ** (2 * k) / math.factorial(k) ** 2 for k in range(30))
         return sinc(t) * bessel(alpha * math.sqrt(1 - (t / 3) ** 2)) / bessel(alpha)
     return sinc(t) * sinc(t / SUPPORT[name])
@@ -154,13 +155,14 @@ def resample(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h:
     return out.select(*keys, "x", "y", *channels)
 
 
-def mip_chain(pixels: DataFrame, channels: list[str], w: int, h: int, name: str = "box") -> DataFrame:
-    """(level, x, y, channels): each level from the one before, down to 1 x 1."""
-    level, out, current = 0, pixels.select(F.lit(0).alias("level"), "x", "y", *[F.col(c).cast("double").alias(c) for c in channels]), pixels
+def mip_chain(pixels: DataFrame, channels: list[str], w: int, h: int, name: str = "box", keys: list[str] | None = None) -> DataFrame:
+    """(keys, level, x, y, channels): each level from the one before, down to 1 x 1."""
+    keys = keys or []
+    level, out, current = 0, pixels.select(*keys, F.lit(0).alias("level"), "x", "y", *[F.col(c).cast("double").alias(c) for c in channels]), pixels
     while w > 1 or h > 1:
         nw, nh, level = max(w >> 1, 1), max(h >> 1, 1), level + 1
-        current = resample(current, [], channels, w, h, nw, nh, name)
-        out = out.unionByName(current.select(F.lit(level).alias("level"), "x", "y", *channels))
+        current = resample(current, keys, channels, w, h, nw, nh, name)
+        out = out.unionByName(current.select(*keys, F.lit(level).alias("level"), "x", "y", *channels))
         w, h = nw, nh
     return out
 
@@ -174,7 +176,7 @@ def convolve(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h:
     """Separable filter with clamped borders. Each pixel explodes to the places that it reaches and the parts are summed."""
     half, out = len(weights) // 2, pixels
     for axis, n in (("x", w), ("y", h)):
-        rows = [(i, k, 0.0) for i in range(0) for k in range(0)]
+        rows: list[tuple[int, int, float]] = []
         for i in range(n):
             found: dict[int, float] = {}
             for k, weight in enumerate(weights):
@@ -191,19 +193,22 @@ def convolve(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h:
 SSIM_WIDTH, SSIM_SIGMA, SSIM_C1, SSIM_C2 = 11, 1.5, 6.5025, 58.5225
 
 
-def ssim(a: DataFrame, b: DataFrame, channel: str, w: int, h: int) -> DataFrame:
-    """Mean structural similarity of one channel of two pictures: one row."""
-    both = a.select("x", "y", F.col(channel).cast("double").alias("p")).join(b.select("x", "y", F.col(channel).cast("double").alias("q")), ["x", "y"])
+def ssim(a: DataFrame, b: DataFrame, channel: str, w: int, h: int, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ssim): mean structural similarity of one channel of two pictures, or of each two of equal keys."""
+    keys = keys or []
+    at = [*keys, "x", "y"]
+    both = a.select(*at, F.col(channel).cast("double").alias("p")).join(b.select(*at, F.col(channel).cast("double").alias("q")), at)
     p, q = F.col("p"), F.col("q")
-    moments = both.select("x", "y", "p", "q", (p * p).alias("pp"), (q * q).alias("qq"), (p * q).alias("pq"))
-    m = convolve(moments, [], ["p", "q", "pp", "qq", "pq"], w, h, gaussian_weights(SSIM_WIDTH, SSIM_SIGMA))
+    moments = both.select(*at, "p", "q", (p * p).alias("pp"), (q * q).alias("qq"), (p * q).alias("pq"))
+    m = convolve(moments, keys, ["p", "q", "pp", "qq", "pq"], w, h, gaussian_weights(SSIM_WIDTH, SSIM_SIGMA))
     upper = (2 * p * q + SSIM_C1) * (2 * (F.col("pq") - p * q) + SSIM_C2)
     lower = (p * p + q * q + SSIM_C1) * ((F.col("pp") - p * p) + (F.col("qq") - q * q) + SSIM_C2)
-    return m.agg(F.avg(upper / lower).alias("ssim"))
+    return m.groupBy(*keys).agg(F.avg(upper / lower).alias("ssim"))
 
 
-def bilinear(pixels: DataFrame, points: DataFrame, channels: list[str], w: int, h: int) -> DataFrame:
-    """Values at fractional places (id, px, py): four neighbours by equi-join, weighted."""
+def bilinear(pixels: DataFrame, points: DataFrame, channels: list[str], w: int, h: int, keys: list[str] | None = None) -> DataFrame:
+    """Values at fractional places (keys, id, px, py): four neighbours by equi-join, weighted."""
+    keys = keys or []
     fx, fy = F.floor("px"), F.floor("py")
     corners = []
     for dx in (0, 1):
@@ -212,21 +217,65 @@ def bilinear(pixels: DataFrame, points: DataFrame, channels: list[str], w: int,
             wy = F.col("py") - fy if dy else 1 - (F.col("py") - fy)
             clamp = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("int")
             corners.append(F.struct(clamp(fx + dx, w).alias("x"), clamp(fy + dy, h).alias("y"), (wx * wy).alias("weight")))
-    near = points.select("id", F.explode(F.array(*corners)).alias("c")).select("id", "c.*")
-    return near.join(pixels, ["x", "y"]).groupBy("id").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in channels])
+    near = points.select(*keys, "id", F.explode(F.array(*corners)).alias("c")).select(*keys, "id", "c.*")
+    return near.join(pixels, [*keys, "x", "y"]).groupBy(*keys, "id").agg(*[F.sum(F.col(c) * F.col("weight")).alias(c) for c in channels])
 
 
-def compare(a: DataFrame, b: DataFrame, channels: list[str]) -> DataFrame:
-    """(channel, largest, mean, mse, rms, psnr) of two pictures over their common part."""
+def _channel_pairs(a: DataFrame, b: DataFrame, channels: list[str], keys: list[str]) -> DataFrame:
+    """(keys, channel, p, q): values of two pictures over their common part, a row a channel."""
+    other = b.select(*keys, "x", "y", *[F.col(c).alias(f"__{c}") for c in channels])
+    pairs = ", ".join(f"'{c}', cast({c} as double), cast(__{c} as double)" for c in channels)
+    return a.join(other, [*keys, "x", "y"]).select(*keys, F.expr(f"stack({len(channels)}, {pairs}) as (channel, p, q)"))
+
+
+def compare(a: DataFrame, b: DataFrame, channels: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, channel, largest, mean, mse, rms, psnr) of two pictures over their common part, or of each two of equal keys."""
     from texloom.operators.stats import compare_stats
 
-    other = b.select("x", "y", *[F.col(c).alias(f"__{c}") for c in channels])
-    joined = a.join(other, ["x", "y"])
-    pairs = ", ".join(f"'{c}', cast({c} as double) - cast(__{c} as double)" for c in channels)
-    return joined.select(F.expr(f"stack({len(channels)}, {pairs}) as (channel, d)")).groupBy("channel").agg(*compare_stats(F.col("d")))
+    keys = keys or []
+    return _channel_pairs(a, b, channels, keys).groupBy(*keys, "channel").agg(*compare_stats(F.col("p") - F.col("q")))
+
+
+def compare_histogram(a: DataFrame, b: DataFrame, channels: list[str], keys: list[str] | None = None) -> DataFrame:
+    """(keys, channel, delta, n): how often each signed difference occurs."""
+    keys = keys or []
+    return _channel_pairs(a, b, channels, keys).groupBy(*keys, "channel", (F.col("p") - F.col("q")).cast("int").alias("delta")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def compare_half(a: DataFrame, b: DataFrame, channels: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Metrics of two float pictures in the space of 16-bit float codes, with flags of values that such codes can't hold well.
+
+    PSNR is against a peak of 65535 and within 0..1000; 1000 where nothing differs.
+    """
+    keys = keys or []
+    p, q = F.col("p"), F.col("q")
+    d = (half_code(p) - half_code(q)).cast("double")
+    abnormal = lambda c: F.isnan(c) | (F.abs(c) == float("inf"))
+    mse = F.avg(d * d)
+    psnr = F.when(mse > 0, F.least(F.lit(1000.0), F.greatest(F.lit(0.0), F.log10(F.lit(65535.0) / F.sqrt(F.when(mse > 0, mse))) * 20.0))).otherwise(1000.0)
+    return _channel_pairs(a, b, channels, keys).groupBy(*keys, "channel").agg(
+        F.max(F.abs(d)).alias("largest"),
+        F.avg(F.abs(d)).alias("mean"),
+        mse.alias("mse"),
+        F.sqrt(mse).alias("rms"),
+        psnr.alias("psnr"),
+        F.bool_or((p < 0) | (q < 0)).alias("has_negative"),
+        F.bool_or((F.abs(p) > MOST_HALF) | (F.abs(q) > MOST_HALF)).alias("has_overflow"),
+        F.bool_or(abnormal(p) | abnormal(q)).alias("has_abnormal"),
+    )
+
 
+#: Fixed value: the largest finite 16-bit float.
+MOST_HALF = 65504.0
 
-def luma_channel(r: Column, g: Column, b: Column) -> Column:
-    from texloom.functions.colors import luma
 
-    return luma(r, g, b)
+def half_code(v: Column) -> Column:
+    """Bits of the nearest 16-bit float, ties to even, in the engine: too large values are infinite, NaN is 0x7E00."""
+    a = F.abs(v.cast("double"))
+    safe = F.when((a > 0) & (a < 131072.0), a).otherwise(F.lit(1.0))
+    guess = F.floor(F.log2(safe))
+    exponent = F.when(F.pow(F.lit(2.0), guess + 1) <= safe, guess + 1).when(F.pow(F.lit(2.0), guess) > safe, guess - 1).otherwise(guess)
+    exponent = F.greatest(exponent, F.lit(-14))
+    code = (exponent + 14) * 1024 + F.rint(safe / F.pow(F.lit(2.0), exponent - 10)).cast("long")
+    code = F.when(F.isnan(a), 0x7E00).when(a == 0, 0).when(a >= 131072.0, 0x7C00).otherwise(F.least(code, F.lit(0x7C00)))
+    return (code + F.when(v < 0, 0x8000).otherwise(0)).cast("int")

@@ -70,12 +70,15 @@ def visual_errors(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return plain, masked
 
 
-def visual_psnr(a: DataFrame, b: DataFrame, channel: str) -> DataFrame:
-    """(psnr_hvs, psnr_hvsm) of one 8-bit channel of two pictures whose sides are multiples of 8; pad others first."""
-    pair = a.select("x", "y", F.col(channel).alias("p")).join(b.select("x", "y", F.col(channel).alias("q")), ["x", "y"])
+def visual_psnr(a: DataFrame, b: DataFrame, channel: str, keys: list[str] | None = None) -> DataFrame:
+    """(keys, psnr_hvs, psnr_hvsm) of one 8-bit channel of two pictures, or of each two of equal keys. Their sides are multiples
+    of 8: pad others first."""
+    keys = keys or []
+    at = [*keys, "x", "y"]
+    pair = a.select(*at, F.col(channel).alias("p")).join(b.select(*at, F.col(channel).alias("q")), at)
     texel = F.array_sort(F.collect_list(F.struct("y", "x", "p", "q")))
-    blocks = pair.groupBy(F.expr("x div 8").alias("bx"), F.expr("y div 8").alias("by")).agg(texel.alias("t"))
-    blocks = blocks.select(F.transform("t", lambda s: s["p"].cast("double")).alias("p"), F.transform("t", lambda s: s["q"].cast("double")).alias("q"))
+    blocks = pair.groupBy(*keys, F.expr("x div 8").alias("bx"), F.expr("y div 8").alias("by")).agg(texel.alias("t"))
+    blocks = blocks.select(*keys, F.transform("t", lambda s: s["p"].cast("double")).alias("p"), F.transform("t", lambda s: s["q"].cast("double")).alias("q"))
 
     @F.pandas_udf("plain double, masked double")
     def errors(p: pd.Series, q: pd.Series) -> pd.DataFrame:
@@ -83,9 +86,9 @@ def visual_psnr(a: DataFrame, b: DataFrame, channel: str) -> DataFrame:
         plain, masked = visual_errors(x, y)
         return pd.DataFrame({"plain": plain, "masked": masked})
 
-    sums = blocks.select(errors("p", "q").alias("e")).agg((F.sum("e.plain") / (F.count("*") * 64)).alias("m"), (F.sum("e.masked") / (F.count("*") * 64)).alias("n"))
+    sums = blocks.select(*keys, errors("p", "q").alias("e")).groupBy(*keys).agg((F.sum("e.plain") / (F.count("*") * 64)).alias("m"), (F.sum("e.masked") / (F.count("*") * 64)).alias("n"))
     decibel = lambda c: F.when(F.col(c) > 0, F.log10(F.when(F.col(c) > 0, F.col(c))) * -10.0).otherwise(100.0)
-    return sums.select(decibel("m").alias("psnr_hvs"), decibel("n").alias("psnr_hvsm"))
+    return sums.select(*keys, decibel("m").alias("psnr_hvs"), decibel("n").alias("psnr_hvsm"))
 
 
 @F.pandas_udf(T.IntegerType())

@@ -60,7 +60,8 @@ def palette_reorder(spark, sf_dir):
     """Symbols in an order that puts frequent neighbours side by side."""
     from texloom.operators.ordered import pair_counts
 
-    return entropy.reorder_palette(pair_counts(frames(spark, sf_dir), ["user_id"], ["ts", "event_id"], "event_type"))
+    rows = frames(spark, sf_dir)
+    return entropy.reorder_palette(pair_counts(rows, ["user_id"], ["ts", "event_id"], "event_type"), rows.select("event_type"))
 
 
 @query("selector_tour")
@@ -84,7 +85,11 @@ def blob_container(spark, sf_dir):
     return entropy.blob_round_trip(rows, "doc_id", "source", "data")
 
 
-@query("checksums")
+@query(
+    "checksums",
+    """SELECT doc_id, xor(list_reduce(flatten(list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: [('0x' || h)::BIGINT << 8, 0, 0, 0, 0, 0, 0, 0])),
+  lambda c, e: xor((xor(c, e) << 1) & 65535, 4129 * (xor(c, e) >> 15)), 65535::BIGINT), 65535)::INT AS crc FROM documents""",
+)
 def checksums(spark, sf_dir):
     """CRC-16 of each text."""
     return entropy.crc16(table(spark, sf_dir, "documents").select("doc_id", F.col("text").cast("binary").alias("data")), "doc_id", "data")

@@ -141,17 +141,9 @@ def picture_visual_psnr(spark, sf_dir):
 
 @query("block_formats")
 def block_formats(spark, sf_dir):
-    """Every block format decoded from the benchmark texts' bytes, 16 a block: mean channels a format and text."""
-    raw = F.col("text").cast("binary")
-    cut = F.transform(F.sequence(F.lit(0), F.expr("octet_length(text) div 16 - 1").cast("int")), lambda i: F.substring(raw, (i * 16 + 1).cast("int"), F.lit(16)))
-    blocks = table(spark, sf_dir, "benchmark").where("octet_length(text) >= 16").select("item_id", F.explode(cut).alias("block"))
-    out = None
-    for fmt, (size, _) in blockcodecs.DECODERS.items():
-        rows = blockcodecs.decode_blocks(blocks.withColumn("block", F.substring("block", 1, size)), "block", fmt)
-        mean = F.aggregate("texels", F.lit(0), lambda s, x: s + x) / 64.0
-        part = rows.groupBy("item_id").agg(F.avg(mean).alias("mean"), F.count("*").alias("blocks")).withColumn("fmt", F.lit(fmt))
-        out = part if out is None else out.unionByName(part)
-    return out
+    """Every block format decoded from all bytes of the benchmark texts: mean channels a format and text."""
+    rows = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").cast("binary").alias("data"))
+    return blockcodecs.decode_every(rows, "item_id", "data").select("item_id", "mean", "blocks", "fmt")
 
 
 @query("block_encoders")
@@ -218,8 +210,10 @@ def scalable_blocks(spark, sf_dir):
     from texloom.operators import astc
 
     raw = F.col("text").cast("binary")
-    cut = F.transform(F.sequence(F.lit(0), F.expr("octet_length(text) div 16 - 1").cast("int")), lambda i: F.substring(raw, (i * 16 + 1).cast("int"), F.lit(16)))
-    blocks = table(spark, sf_dir, "benchmark").where("octet_length(text) >= 16").select("item_id", F.explode(cut).alias("block"))
+    cut = F.transform(F.sequence(F.lit(0), F.expr("(octet_length(text) - 1) div 16").cast("int")), lambda i: F.substring(raw, (i * 16 + 1).cast("int"), F.lit(16)))
+    blocks = table(spark, sf_dir, "benchmark").where("octet_length(text) > 0").select("item_id", F.explode(cut).alias("block"))
+    # the last block is filled up with zeros
+    blocks = blocks.withColumn("block", F.expr("rpad(block, 16, X'00')"))
     rows = astc.decode_blocks(blocks, "block", 6, 5)
     return rows.groupBy("item_id").agg(F.count("*").alias("blocks"), F.count("texels").alias("decoded"), F.avg(F.aggregate("texels", F.lit(0), lambda s, x: s + x) / 120.0).alias("mean"))
 
