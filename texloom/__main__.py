@@ -6,11 +6,14 @@ Each command is a DataFrame job over the files; tables go to standard output or,
 from __future__ import annotations
 
 import argparse
+import os
+import re
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from texloom import api
@@ -48,14 +51,31 @@ def report(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, REPORT)
 
 
+#: Texels in one batch of `pixels_of`.
+BATCH_TEXELS = 1 << 17
+
+
 def pixels_of(rows: DataFrame) -> DataFrame:
-    """(x, y, r, g, b, a) of the first image of RGBA rows."""
-    data = F.col("data")
-    at = F.explode(F.sequence(F.lit(0), F.octet_length(data) - 4, F.lit(4)))
-    cut = rows.select("width", data, at.alias("at"))
-    byte = lambda k: F.conv(F.hex(F.substring("data", F.col("at") + k + 1, F.lit(1))), 16, 10).cast("int")
-    place = F.expr("at div 4")
-    return cut.select((place % F.col("width")).cast("int").alias("x"), F.expr("cast(at div 4 div width as int)").alias("y"), *[byte(i).alias(c) for i, c in enumerate("rgba")])
+    """(path, x, y, r, g, b, a) of RGBA rows: each image's bytes are read once and become columns, a batch of lines at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path, w, h, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texels = np.frombuffer(data, np.uint8).reshape(h, w, 4)
+                lines = max(1, BATCH_TEXELS // max(w, 1))
+                for y in range(0, h, lines):
+                    part = texels[y : y + lines]
+                    n = len(part)
+                    columns = [np.tile(np.arange(w, dtype=np.int32), n), np.repeat(np.arange(y, y + n, dtype=np.int32), w), *part.reshape(-1, 4).T.astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array([path] * (n * w), pa.string()), *map(pa.array, columns)], names=["path", "x", "y", *"rgba"])
+
+    return rows.select("path", "width", "height", "data").mapInArrow(run, "path string, x int, y int, r int, g int, b int, a int")
+
+
+def is_file(name: str) -> Column:
+    """Whether `path` is the file that was named: the whole path, not its end."""
+    plain = re.sub("^file:/+", "/", name)
+    return F.regexp_replace("path", "^file:/+", "/") == (plain if "://" in plain else os.path.abspath(plain))
 
 
 def main(args: list[str]) -> int:
@@ -90,7 +110,7 @@ def main(args: list[str]) -> int:
             out = datasource.write_files(api.pack(api.transcode(rows, o.format, ["name"]), o.kind, ["name"]), o.to, o.kind)
     else:
         rows = api.decode_rgba(datasource.decode_files(files).where("level = 0 and layer = 0 and face = 0"), ["path"])
-        parts = [pixels_of(rows.where(F.col("path").endswith(p.rpartition("/")[2]))) for p in paths]
+        parts = [pixels_of(rows.where(is_file(p))) for p in paths]
         out = stats.channel_summary(parts[0], list("rgba")) if o.command == "stats" else images.compare(parts[0], parts[1], list("rgba"))
     if o.csv:
         out.write.mode("overwrite").csv(o.csv, header=True)

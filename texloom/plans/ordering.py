@@ -266,8 +266,8 @@ def uniform_dimensions(spark, sf_dir):
     "SELECT l_orderkey, count(DISTINCT l_returnflag) = 1 AS solid, bool_or(l_discount < 0.05) AS has_alpha FROM lineitem GROUP BY 1",
 )
 def solid_blocks(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_returnflag", "l_discount")).alias("t"))
-    return rows.select("l_orderkey", (F.size(F.array_distinct(F.transform("t", lambda x: x["l_returnflag"]))) == 1).alias("solid"), F.exists("t", lambda x: x["l_discount"] < 0.05).alias("has_alpha"))
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey")
+    return rows.agg((F.min("l_returnflag") == F.max("l_returnflag")).alias("solid"), F.bool_or(F.col("l_discount") < 0.05).alias("has_alpha"))
 
 
 @query(

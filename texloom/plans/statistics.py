@@ -155,7 +155,8 @@ def psnr_report(spark, sf_dir):
     "SELECT r_name, n_name, count(*) AS customers, round(sum(c_acctbal), 2) AS balance, max(c_acctbal) AS most FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ROLLUP (r_name, n_name)",
 )
 def rollup_report(spark, sf_dir):
-    nation, region = (F.broadcast(table(spark, sf_dir, t)) for t in ("nation", "region"))
+    # the engine broadcasts them by their size, if they are small
+    nation, region = (table(spark, sf_dir, t) for t in ("nation", "region"))
     rows = table(spark, sf_dir, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).join(region, F.col("n_regionkey") == F.col("r_regionkey"))
     return rows.rollup("r_name", "n_name").agg(F.count("*").alias("customers"), F.round(F.sum("c_acctbal"), 2).alias("balance"), F.max("c_acctbal").alias("most"))
 
@@ -166,11 +167,11 @@ def rollup_report(spark, sf_dir):
 FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())""",
 )
 def block_statistics(spark, sf_dir):
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("texloom_blocks")
     return spark.sql(
         """SELECT l_returnflag AS mode, l_linestatus AS partition_kind, l_linenumber AS grid, count(*) AS n,
         cast(grouping(l_returnflag) AS int) AS g1, cast(grouping(l_linestatus) AS int) AS g2, cast(grouping(l_linenumber) AS int) AS g3
-        FROM texloom_blocks GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())"""
+        FROM {rows} GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus), (l_linenumber), (l_returnflag, l_linestatus), ())""",
+        rows=table(spark, sf_dir, "lineitem"),
     )
 
 

@@ -163,6 +163,38 @@ def write_ktx(t: Texture) -> bytes:
     return head + pairs + body
 
 
+def read_ktx(raw: bytes) -> Texture:
+    """The first version of the container, in little-endian order."""
+    if raw[:12] != KTX_MARK:
+        raise ValueError("not a KTX file")
+    if len(raw) < 64 or struct.unpack_from("<I", raw, 12)[0] != 0x04030201:
+        raise ValueError("only little-endian KTX files are read")
+    _, _, _, internal, _, w, h, depth, layers, faces, levels, pairs = struct.unpack_from("<12I", raw, 16)
+    fmt = next((k for k, v in GL_FORMATS.items() if v == internal), None)
+    if fmt is None or depth > 1 or faces not in (1, 6):
+        raise ValueError("a format or kind of texture that is not read")
+    out, at = Texture(fmt, w, h), 64
+    end = at + pairs
+    while at + 4 <= min(end, len(raw)):
+        size = struct.unpack_from("<I", raw, at)[0]
+        key, _, value = raw[at + 4 : at + 4 + size].partition(b"\0")
+        out.key_values[key.decode("utf-8", "replace")] = value
+        at += 4 + size + -size % 4
+    at = end
+    for level in range(max(levels, 1)):
+        lw, lh = max(w >> level, 1), max(h >> level, 1)
+        size, begin = level_size(fmt, lw, lh), at + 4
+        if begin + size * max(layers, 1) * faces > len(raw):
+            raise ValueError("the file ends inside a level")
+        at = begin
+        for layer in range(max(layers, 1)):
+            for face in range(faces):
+                out.images.append(Image(level, layer, face, lw, lh, raw[at : at + size]))
+                at += size + (-size % 4 if faces == 6 and layers == 0 else 0)
+        at += -(at - begin) % 4
+    return out
+
+
 def _descriptor(fmt: str) -> bytes:
     """Data format descriptor: one basic block with a sample for the color (and one for alpha where a format stores it apart)."""
     model = {"RGBA32": 1, "BC1": 128, "BC3": 130, "BC4": 131, "BC5": 132, "BC6H": 133, "BC7": 134, "ETC2_RGBA": 161, "ASTC_LDR_4x4": 162}[fmt]

@@ -1,7 +1,8 @@
 """Spark sources and sinks of texture files.
 
-`spark.read.format("texloom").load(dir)`: a row an image of each file (DDS, KTX2, PNG, TGA, QOI, ASTC). A partition is a file; a
-reader sees one file at a time. `write_images` is the sink: a file a row, written where the rows are, with a manifest of those of
+`spark.read.format("texloom").load(dir)`: a row an image of each file (DDS, KTX, KTX2, PNG, TGA, QOI, ASTC; Radiance and OpenEXR as
+RGBA128F, four 32-bit floats a texel). A partition is a file; a reader sees one file at a time. JPEG files are read by `read_jpegs`
+through Spark's own `image` source. `write_images` is the sink: a file a row, written where the rows are, with a manifest of those of
 committed tasks.
 """
 
@@ -16,8 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from texloom.sources import containers, rasters
+from texloom.sources import containers, exr, rasters
 
+FLOAT_READERS = {"hdr": rasters.read_radiance, "exr": exr.read_exr}
 SCHEMA = "path string, fmt string, level int, layer int, face int, width int, height int, data binary"
 
 
@@ -27,8 +29,13 @@ def images_of(path: str, raw: bytes) -> Iterator[tuple]:
     if ending in rasters.READERS:
         picture = rasters.READERS[ending](raw)
         yield path, "RGBA32", 0, 0, 0, picture.shape[1], picture.shape[0], picture.tobytes()
-    elif ending in ("dds", "ktx2"):
-        t = containers.read_dds(raw) if ending == "dds" else containers.read_ktx2(raw)
+    elif ending in FLOAT_READERS:
+        picture = FLOAT_READERS[ending](raw).astype(np.float32)
+        if picture.shape[2] == 3:
+            picture = np.concatenate([picture, np.ones((*picture.shape[:2], 1), np.float32)], axis=2)
+        yield path, "RGBA128F", 0, 0, 0, picture.shape[1], picture.shape[0], picture.astype("<f4").tobytes()
+    elif ending in ("dds", "ktx", "ktx2"):
+        t = {"dds": containers.read_dds, "ktx": containers.read_ktx, "ktx2": containers.read_ktx2}[ending](raw)
         for i in t.images:
             yield path, t.fmt, i.level, i.layer, i.face, i.width, i.height, i.data
     elif ending == "astc":
@@ -87,6 +94,27 @@ def decode_files(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
+def read_jpegs(spark: SparkSession, path: str) -> DataFrame:
+    """JPEG files (and others that the engine's `image` source decodes) as RGBA image rows."""
+    rows = spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.width", "image.height", "image.nChannels", "image.data")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        kinds = [pa.string(), pa.string(), *[pa.int32()] * 5, pa.binary()]
+        for batch in batches:
+            for origin, w, h, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                texels = np.frombuffer(data, np.uint8).reshape(h, w, n)
+                out = np.full((h, w, 4), 255, np.uint8)
+                # the source keeps colors as blue, green, red
+                out[..., :3] = texels[..., 2::-1] if n >= 3 else texels[..., :1]
+                if n == 4:
+                    out[..., 3] = texels[..., 3]
+                row = (origin, "RGBA32", 0, 0, 0, w, h, out.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds, strict=True)], names=names)
+
+    return rows.mapInArrow(run, SCHEMA)
+
+
 def _write(files: DataFrame, columns: list[str], folder: str, ending: str, make: Callable[..., bytes]) -> DataFrame:
     """A file a row, named by `name` and the task's attempt; (path, size) of those that committed tasks wrote."""
 

@@ -1,7 +1,8 @@
 """Streams of ordered frames: state a block position (or image) keeps between micro-batches.
 
 The same functions have a batch form in operators.ordered; tests hold both to equal results. State is keyed, so it is spread by
-block position; event time must not go backwards within a key (frames are decoded first to last), which each key checks.
+block position. Frames are decoded first to last: one that comes in a later micro-batch than its successor is late, keeps the
+stream running, and is marked instead of compared.
 """
 
 from __future__ import annotations
@@ -16,21 +17,27 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
 def skip_blocks(frames: DataFrame, block: str, order: str, symbol: str) -> DataFrame:
-    """(block, order, symbol, skipped): whether each block repeats the one of the frame before, across micro-batches."""
+    """(block, order, symbol, skipped): whether each block repeats the one of the frame before, across micro-batches.
+
+    skipped is null for late frames (the dead letters of this stream): they change no state. A micro-batch's frames of one
+    block are in memory together; the source's limit a trigger bounds them.
+    """
     schema = T.StructType([frames.schema[block], frames.schema[order], frames.schema[symbol], T.StructField("skipped", T.BooleanType())])
     state_schema = T.StructType([frames.schema[order], frames.schema[symbol]])
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         last_order, last = state.get if state.exists else (None, None)
-        rows = pd.concat(list(parts)).sort_values(order)
+        rows, before = pd.concat(list(parts)).sort_values(order), last_order
         out = []
         for at, value in zip(rows[order], rows[symbol], strict=True):
-            if last_order is not None and at < last_order:
-                raise ValueError(f"frame {at} of block {key[0]} comes after frame {last_order}")
+            if before is not None and at < before:
+                out.append((key[0], at, value, None))
+                continue
             out.append((key[0], at, value, last_order is not None and value == last))
             last_order, last = at, value
         state.update((int(last_order), last))
-        yield pd.DataFrame(out, columns=schema.names)
+        found = pd.DataFrame(out, columns=schema.names)
+        yield found.astype({"skipped": "boolean"})
 
     return frames.select(block, order, symbol).groupBy(block).applyInPandasWithState(step, schema, state_schema, "append", GroupStateTimeout.NoTimeout)
 
