@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from texloom.operators import arithmetic, blockcodecs, entropy, images
+from texloom.operators import arithmetic, blockcodecs, entropy, frontend, images, vq
 
 
 def test_half_codes_equal_numpy(spark):
@@ -76,3 +76,58 @@ def test_tonemap_of_odd_values(spark):
     rows = [(1, 0, 0, nan), (1, 1, 0, -3.0), (1, 2, 0, inf), (1, 3, 0, 1e9), (2, 0, 0, 5.0), (2, 1, 0, 5.0)]
     found = arithmetic.half_range_tonemap(spark.createDataFrame(rows, "k int, x int, y int, v double"), ["k"], ["v"]).collect()
     assert {(r["k"], r["x"]): r["v"] for r in found} == {(1, 0): 0, (1, 1): 0, (1, 2): 0, (1, 3): 255}
+
+
+def _colors(base, row):
+    return [[min(255, max(0, b + int(m))) for b in base] for m in sorted(blockcodecs.ETC1_MODIFIERS[row])]
+
+
+def test_endpoints_selectors_and_errors_against_loops(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, i, *(int(x) for x in np.clip(rng.normal(90 + 20 * k, 8 + 6 * k, 3), 0, 255))) for k in range(5) for i in range(16)]
+    texels = spark.createDataFrame(rows, "block int, i int, r int, g int, b int")
+    ends = frontend.cluster_endpoints(texels, ["block"])
+    chosen = {r["block"]: r for r in ends.collect()}
+    vectors = {r["block"]: r for r in frontend.selector_vectors(texels, ends, ["block"]).collect()}
+    errors = {r["block"]: r["error"] for r in frontend.block_endpoint_errors(texels, ends, ["block"], "block").collect()}
+    for k in range(5):
+        own = [r[2:] for r in rows if r[0] == k]
+        five = [int(math.floor(np.mean([t[c] for t in own]) * 31 / 255 + 0.5)) for c in range(3)]
+        base = [(c << 3) + (c >> 2) for c in five]
+        distances = [[[sum((a - b) ** 2 for a, b in zip(t, color)) for color in _colors(base, row)] for t in own] for row in range(8)]
+        sums = [sum(min(d) for d in of) for of in distances]
+        row = int(np.argmin(sums))
+        r = chosen[k]
+        assert (r["r5"], r["g5"], r["b5"], r["row"], r["error"], r["texels"]) == (*five, row, sums[row], 16) and errors[k] == sums[row]
+        assert vectors[k]["v"] == [float(np.argmin(d)) for d in distances[row]]
+        colors = _colors(base, row)
+        assert vectors[k]["w"] == max(1, min(4096, sum((a - b) ** 2 for a, b in zip(colors[0], colors[3])) // 300))
+    ready = frontend.endpoint_vectors(ends, ["block"]).collect()
+    assert len(ready) == 10 and all(len(r["v"]) == 6 and r["w"] == 1 for r in ready)
+    labels, book = frontend.hierarchical_codebook(spark.createDataFrame(ready), "v", "w", 4, 2)
+    assert {r["parent"] for r in book.collect()} <= {0, 1} and labels.agg(F.sum("members")).first()[0] == 10
+
+
+def test_remapped_endpoints(spark):
+    rows = [(k, i, 10 * k, 5, 200) for k in range(4) for i in range(4)]
+    texels = spark.createDataFrame(rows, "cluster int, i int, r int, g int, b int")
+    remap = spark.createDataFrame([(0, 7), (1, 7), (2, 9), (3, 9), (4, 11)], "old int, new int")
+    ends, ids = frontend.remapped_endpoints(texels, remap, "cluster")
+    assert {r["cluster"]: r["texels"] for r in ends.collect()} == {0: 8, 1: 8}
+    assert {r["old"]: r["new"] for r in ids.collect()} == {0: 0, 1: 0, 2: 1, 3: 1, 4: None}
+
+
+def test_quantizer_passes_grow_with_depth(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    rows = [([float(x) for x in v], 1) for v in rng.normal(size=(2000, 3))]
+    df = spark.createDataFrame(rows, "v array<double>, w int")
+    passes = []
+    monkeypatch.setattr(vq, "_sums", lambda *a, own=vq._sums: (passes.append(1), own(*a))[1])
+    data, leaves = vq.quantize(df, "v", "w", 64)
+    assert len(leaves) == 64 and len(passes) < 7 * 20
+    found = data.collect()
+    assert sum(r["members"] for r in found) == 2000 and {r["code"] for r in found} == set(range(64))
+    assert vq.truncated(leaves, 1) == [0] * 64 and vq.truncated(leaves, 64) == list(range(64))
+    total = sum(leaf.error for leaf in leaves)
+    again = sum(float(((np.array(r["v"]) - leaves[r["code"]].center) ** 2).sum()) for r in found)
+    assert abs(total - again) < 1e-6 * total

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from texloom.operators import arithmetic, images, transforms
+from texloom.operators import arithmetic, frontend, images, transforms
+from texloom.operators.blockcodecs import ETC1_MODIFIERS
 from texloom.plans.carriers import table
 from texloom.registry import query
 
@@ -254,3 +255,75 @@ def frame_kinds(spark, sf_dir):
     frame = F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1
     codec = F.when(F.col("user_id") % 2 == 0, "ETC1S").otherwise("UASTC")
     return table(spark, sf_dir, "events").select("event_id", codec.alias("codec"), frame.alias("frame")).select("event_id", arithmetic.frame_kind(F.col("codec"), F.col("frame")).alias("kind"))
+
+
+def _texels(spark, sf_dir: str) -> DataFrame:
+    """The gallery's colors by block, with the block's cluster: (image, bx, by, cluster, i, r, g, b)."""
+    rows = gallery(spark, sf_dir).withColumns({"bx": F.expr("x div 4"), "by": F.expr("y div 4"), "i": F.expr("y % 4 * 4 + x % 4")})
+    return rows.select("image", "bx", "by", ((F.col("image") * 40 + F.col("by") * 8 + F.col("bx")) % 97).alias("cluster"), "i", "r", "g", "b")
+
+
+#: The four colors' squared errors of a texel under each row of modifiers, least first.
+_ROWS = ", ".join(
+    "least(" + ", ".join("+".join(f"({c} - greatest(0, least(255, {c}8 + {m})))**2" for c in "rgb") for m in sorted(int(x) for x in row)) + ")" for row in ETC1_MODIFIERS
+)
+_CLUSTERS = f"""{_GALLERY}, t AS (SELECT image, x // 4 AS bx, y // 4 AS by, (image * 40 + y // 4 * 8 + x // 4) % 97 AS cluster, r, g, b FROM pic),
+m AS (SELECT cluster, {", ".join(f"floor(avg({c}) * 31.0::DOUBLE / 255.0 + 0.5)::INT AS {c}5" for c in "rgb")} FROM t GROUP BY 1),
+u AS (SELECT t.*, r5, g5, b5, {", ".join(f"(({c}5 << 3) + ({c}5 >> 2)) AS {c}8" for c in "rgb")} FROM t JOIN m USING (cluster)),
+e AS (SELECT *, [{_ROWS}] AS errors FROM u),
+k AS (SELECT cluster, r5, g5, b5, count(*) AS texels, [{", ".join(f"sum(errors[{k + 1}])" for k in range(len(ETC1_MODIFIERS)))}] AS sums FROM e GROUP BY 1, 2, 3, 4),
+p AS (SELECT *, list_position(sums, list_min(sums)) AS at FROM k)"""
+
+
+@query("cluster_endpoints", f"WITH {_CLUSTERS} SELECT cluster, r5, g5, b5, (p.at - 1)::INT AS "row", list_min(sums)::BIGINT AS error, texels FROM p")
+def cluster_endpoints(spark, sf_dir):
+    """Color and row of modifiers of each cluster of blocks."""
+    return frontend.cluster_endpoints(_texels(spark, sf_dir), ["cluster"])
+
+
+@query("block_endpoint_errors", f"WITH {_CLUSTERS} SELECT e.image, e.bx, e.by, sum(e.errors[p.at])::BIGINT AS error FROM e JOIN p USING (cluster) GROUP BY 1, 2, 3")
+def block_endpoint_errors(spark, sf_dir):
+    """Squared errors of every block under its cluster's endpoint."""
+    texels = _texels(spark, sf_dir)
+    return frontend.block_endpoint_errors(texels, frontend.cluster_endpoints(texels, ["cluster"]), ["image", "bx", "by"], "cluster")
+
+
+@query("endpoint_codebook")
+def endpoint_codebook(spark, sf_dir):
+    """Clusters' endpoints as training vectors, in a codebook of 16 codes below 4 parents."""
+    vectors = frontend.endpoint_vectors(frontend.cluster_endpoints(_texels(spark, sf_dir), ["cluster"]), ["cluster"])
+    labels, book = frontend.hierarchical_codebook(vectors, "v", "w", 16, 4)
+    return labels.groupBy("code", "parent").agg(F.sum("members").alias("members")).join(book, ["code", "parent"])
+
+
+@query("selector_training")
+def selector_training(spark, sf_dir):
+    """Selectors of every block as training vectors with their weights."""
+    texels = _texels(spark, sf_dir)
+    blocks = ["image", "bx", "by"]
+    found = frontend.selector_vectors(texels, frontend.cluster_endpoints(texels, blocks), blocks)
+    return found.select(*blocks, F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), "").alias("selectors"), "w")
+
+
+@query(
+    "block_similarity",
+    f"""WITH {_GALLERY}, {_COARSE}, s AS (SELECT pic.image, pic.x // 4 AS bx, pic.y // 4 AS by, avg(pic.r / 255::DOUBLE) AS mp, avg(c.r / 255::DOUBLE) AS mq, var_pop(pic.r / 255::DOUBLE) AS vp, var_pop(c.r / 255::DOUBLE) AS vq,
+  covar_pop(pic.r / 255::DOUBLE, c.r / 255::DOUBLE) AS pq FROM pic JOIN c USING (image, x, y) GROUP BY 1, 2, 3)
+SELECT image, bx, s.by, round(pow(greatest(0, least(1, (2 * mp * mq + 0.0001::DOUBLE) / (mp * mp + mq * mq + 0.0001::DOUBLE))), 1.5::DOUBLE) * greatest(0, least(1, (2 * sqrt(vp) * sqrt(vq) + 0.0009::DOUBLE) / (vp + vq + 0.0009::DOUBLE)))
+  * greatest(0, least(1, (pq + 0.00045::DOUBLE) / (sqrt(vp) * sqrt(vq) + 0.00045::DOUBLE))), 9) AS similarity FROM s""",
+)
+def block_similarity(spark, sf_dir):
+    pic, coarse = _pair(spark, sf_dir)
+    both = pic.join(coarse.select("image", "x", "y", F.col("r").alias("r2")), ["image", "x", "y"])
+    both = both.select("image", F.expr("x div 4").alias("bx"), F.expr("y div 4").alias("by"), (F.col("r") / 255).alias("r"), (F.col("r2") / 255).alias("r2"))
+    return frontend.block_similarity(both, ["image", "bx", "by"], ["r"]).withColumn("similarity", F.round("similarity", 9))
+
+
+@query(
+    "split_blocks",
+    "SELECT l_orderkey FROM lineitem GROUP BY 1 HAVING min(l_suppkey % 3) <> max(l_suppkey % 3)",
+)
+def split_blocks(spark, sf_dir):
+    """Orders as blocks, lines as their parts: those in more than one cluster."""
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 3).alias("cluster"))
+    return frontend.split_blocks(rows, ["l_orderkey"], "cluster")
