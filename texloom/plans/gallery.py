@@ -275,7 +275,7 @@ k AS (SELECT cluster, r5, g5, b5, count(*) AS texels, [{", ".join(f"sum(errors[{
 p AS (SELECT *, list_position(sums, list_min(sums)) AS at FROM k)"""
 
 
-@query("cluster_endpoints", f"WITH {_CLUSTERS} SELECT cluster, r5, g5, b5, (p.at - 1)::INT AS "row", list_min(sums)::BIGINT AS error, texels FROM p")
+@query("cluster_endpoints", f"WITH {_CLUSTERS} SELECT cluster, r5, g5, b5, (p.at - 1)::INT AS row, list_min(sums)::BIGINT AS error, texels FROM p")
 def cluster_endpoints(spark, sf_dir):
     """Color and row of modifiers of each cluster of blocks."""
     return frontend.cluster_endpoints(_texels(spark, sf_dir), ["cluster"])
