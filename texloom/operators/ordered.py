@@ -69,6 +69,31 @@ def stripes(df: DataFrame, slice_cols: list[str], order: list[str], count: int)
     return df.withColumn("stripe", F.ntile(count).over(W.partitionBy(*slice_cols).orderBy(*order)))
 
 
+#: Ranges of row ids that share a key's places.
+ID_BINS = 1024
+
+
+def stable_places(df: DataFrame, keys: list[str], short: str, row_id: str) -> DataFrame:
+    """Each row's place (from 1) in its group by a short key, ties by a whole-number row id; null keys and ids come first.
+
+    A counting sort: rows are counted by (group, short key, range of ids), places before a range are sums of counts, and only
+    rows of one range are ordered together. So a group of any size is ranked by many tasks.
+    """
+    ends = df.agg(F.min(row_id), F.max(row_id)).first()
+    width = max(1, -(-((ends[1] or 0) - (ends[0] or 0) + 1) // ID_BINS))
+    own = F.coalesce(F.floor((F.col(row_id) - (ends[0] or 0)) / width), F.lit(-1)).cast("int")
+    rows = df.withColumn("__bin", own)
+    before = W.partitionBy(*keys).orderBy(short, "__bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = rows.groupBy(*keys, short, "__bin").agg(F.count(F.lit(1)).alias("__n"))
+    bins = bins.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n").withColumnsRenamed({c: f"__of_{c}" for c in (*keys, short)}).withColumnRenamed("__bin", "__of_bin")
+    same = F.col("__bin") == F.col("__of_bin")
+    for c in (*keys, short):
+        same &= rows[c].eqNullSafe(bins[f"__of_{c}"])
+    inside = F.row_number().over(W.partitionBy(*keys, short, "__bin").orderBy(row_id))
+    placed = rows.withColumn("__in", inside).join(bins, same)
+    return placed.withColumn("place", (F.col("__before") + F.col("__in")).cast("int")).drop("__bin", "__in", "__before", *[c for c in bins.columns if c.startswith("__of_")])
+
+
 def mip_levels(df: DataFrame, w: str, h: str) -> DataFrame:
     """A row a mip level, down to 1 x 1."""
     last = F.floor(F.log2(F.greatest(w, h).cast("double"))).cast("int")

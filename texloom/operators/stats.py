@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -87,19 +88,43 @@ def entropy_bits(df: DataFrame, keys: list[str], symbol: str) -> DataFrame:
     return histogram.groupBy(*keys).agg((n * F.log2(n.cast("double")) - F.sum(c * F.log2(c.cast("double")))).alias("bits"), n.alias("symbols"), F.count(F.lit(1)).alias("alphabet"))
 
 
-def tails(df: DataFrame, keys: list[str], v: str, ties: list[str]) -> DataFrame:
+#: Ranges of values that a group is cut into before its values are ranked.
+VALUE_BINS = 1024
+
+
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on keys, null ones too; b's keys go. b has few rows a key, so the engine broadcasts it where it is small."""
+    other = b.withColumnsRenamed({k: f"__of_{k}" for k in keys})
+    return a.join(other, reduce(Column.__and__, [a[k].eqNullSafe(other[f"__of_{k}"]) for k in keys], F.lit(True))).drop(*[f"__of_{k}" for k in keys])
+
+
+def tails(df: DataFrame, keys: list[str], v: str, ties: list[str] | None = None) -> DataFrame:
     """Median (mean of the middle two) and means of the lowest and highest twentieth: clamp((n + 10) div 20, 1, n) values.
 
-    Ranks come from a window inside each group, after the group's rows are counted by it.
+    A group of any size is ranked by many tasks: equal values are counted first, then the values of each of VALUE_BINS ranges
+    between the group's ends are ordered by themselves, behind the counts of the ranges before. Nulls rank first and are in
+    no mean; NaN ranks last.
     """
-    low = F.row_number().over(W.partitionBy(*keys).orderBy(v, *ties))
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    k = clamp(F.floor((F.col("__n") + 10) / 20), 1, F.col("__n"))
-    ranked = df.withColumn("__k", low).withColumn("__n", n)
-    middle = (F.col("__k") == F.floor((F.col("__n") + 1) / 2)) | (F.col("__k") == F.floor(F.col("__n") / 2) + 1)
-    pick = lambda c: F.avg(F.when(c, F.col(v)))
+    counted = df.groupBy(*keys, F.col(v).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    ends = counted.groupBy(*keys).agg(F.min("__v").alias("__low"), F.max("__v").alias("__high"), F.sum("__c").alias("__n"))
+    wide = F.col("__high") - F.col("__low")
+    share = F.when(wide > 0, (F.col("__v") - F.col("__low")) / F.when(wide > 0, wide) * VALUE_BINS)
+    place = F.when(F.col("__v").isNull(), -1).when(share.isNull() | F.isnan(share), 0).otherwise(F.least(F.floor(share), F.lit(VALUE_BINS - 1)).cast("int"))
+    binned = _same(counted, ends, keys).withColumn("__bin", place)
+    before = W.partitionBy(*keys).orderBy("__bin").rowsBetween(W.unboundedPreceding, -1)
+    bins = binned.groupBy(*keys, "__bin").agg(F.sum("__c").alias("__s")).withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).drop("__s")
+    upto = W.partitionBy(*keys, "__bin").orderBy("__v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = _same(binned, bins, [*keys, "__bin"]).withColumn("__last", F.col("__before") + F.sum("__c").over(upto))
+    n, first = F.col("__n"), F.col("__last") - F.col("__c") + 1
+    k = clamp(F.floor((n + 10) / 20), 1, n)
+
+    def mean(low: Column, high: Column) -> Column:
+        taken = F.greatest(F.least(high, F.col("__last")) - F.greatest(low, first) + 1, F.lit(0))
+        taken = F.when((taken > 0) & F.col("__v").isNotNull(), taken)
+        return F.sum(F.col("__v") * taken) / F.sum(taken)
+
     return ranked.groupBy(*keys).agg(
-        pick(middle).alias("median"), pick(F.col("__k") <= k).alias("low_tail"), pick(F.col("__k") > F.col("__n") - k).alias("high_tail")
+        mean(F.floor((n + 1) / 2), F.floor(n / 2) + 1).alias("median"), mean(F.lit(1), k).alias("low_tail"), mean(n - k + 1, n).alias("high_tail")
     )
 
 

@@ -131,9 +131,8 @@ def palette_order(spark, sf_dir):
 )
 def radix_order(spark, sf_dir):
     """A stable sort by a short key: ties keep the row id's order."""
-    from pyspark.sql import Window as W
-
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.row_number().over(W.partitionBy("o_orderstatus").orderBy("o_orderpriority", "o_orderkey")).alias("place"))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return ordered.stable_places(rows, ["o_orderstatus"], "o_orderpriority", "o_orderkey").select("o_orderkey", "place")
 
 
 @query("symbols_by_frequency", "SELECT p_type AS sym, count(*) AS freq FROM part GROUP BY 1 ORDER BY 2, 1")

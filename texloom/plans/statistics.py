@@ -66,7 +66,7 @@ SELECT event_type, round(avg(v) FILTER (k IN ((n + 1) // 2, n // 2 + 1)), 6) AS
 FROM t GROUP BY 1""",
 )
 def median_tails(spark, sf_dir):
-    out = stats.tails(frames(spark, sf_dir), ["event_type"], "value", ["event_id"])
+    out = stats.tails(frames(spark, sf_dir), ["event_type"], "value")
     return out.select("event_type", *[F.round(c, 6).alias(c) for c in ("median", "low_tail", "high_tail")])
 
 
@@ -145,9 +145,11 @@ SELECT l_linestatus, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_pop(v
 def psnr_report(spark, sf_dir):
     v = F.col("v")
     rows = table(spark, sf_dir, "lineitem").select("l_linestatus", (F.col("l_quantity") * 1.7 + 20).alias("v")).where("v < 99")
-    return rows.groupBy("l_linestatus").agg(
-        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high"), F.round(F.median(v), 6).alias("middle")
+    middle = stats.tails(rows, ["l_linestatus"], "v").select(F.col("l_linestatus").alias("status"), F.round("median", 6).alias("middle"))
+    found = rows.groupBy("l_linestatus").agg(
+        F.count(v).alias("n"), F.round(F.avg(v), 6).alias("mean"), F.round(F.stddev_pop(v), 6).alias("deviation"), F.min(v).alias("low"), F.max(v).alias("high")
     )
+    return found.join(middle, found["l_linestatus"].eqNullSafe(middle["status"])).drop("status")
 
 
 @query(
