@@ -123,6 +123,15 @@ def wrap(j: int, n: int, boundary: str) -> int:
     return min(max(j, 0), n - 1)
 
 
+#: Longest side of a picture: tables of a number or a few per column or row stay small enough to broadcast.
+MOST_SIDE = 1 << 14
+
+
+def _check_sides(*sides: int) -> None:
+    if max(sides) > MOST_SIDE:
+        raise ValueError(f"pictures have at most {MOST_SIDE} texels a side")
+
+
 def contributors(n: int, m: int, name: str, scale: float = 1.0, boundary: str = "clamp") -> list[tuple[int, int, float]]:
     """(destination, source, weight) to resample n places to m; weights of a destination sum to 1."""
     ratio = m / n
@@ -145,6 +154,7 @@ def contributors(n: int, m: int, name: str, scale: float = 1.0, boundary: str =
 
 def resample(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h: int, new_w: int, new_h: int, name: str = "lanczos4", boundary: str = "clamp", scale: float = 1.0) -> DataFrame:
     """Separable resampling: joins with the two contributor tables (a few numbers a column or row of the picture), partial sums."""
+    _check_sides(w, h, new_w, new_h)
     spark = pixels.sparkSession
     out = pixels
     for axis, n, m in (("x", w, new_w), ("y", h, new_h)):
@@ -174,6 +184,7 @@ def gaussian_weights(width: int, sigma: float) -> list[float]:
 
 def convolve(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h: int, weights: list[float]) -> DataFrame:
     """Separable filter with clamped borders. Each pixel explodes to the places that it reaches and the parts are summed."""
+    _check_sides(w, h, len(weights))
     half, out = len(weights) // 2, pixels
     for axis, n in (("x", w), ("y", h)):
         rows: list[tuple[int, int, float]] = []

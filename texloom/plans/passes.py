@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from texloom.operators import images, passes
+from texloom.operators import images, ingest, passes
 from texloom.plans.carriers import frames, table
-from texloom.plans.gallery import _COARSE, _GALLERY, _HALF, _pair, gallery
+from texloom.plans.gallery import _COARSE, _GALLERY, _HALF, H, W, _pair, gallery
 from texloom.registry import query
 
 
@@ -118,3 +118,37 @@ SELECT doc_id, """
 def animation_values(spark, sf_dir):
     """Bytes of texts as animation values."""
     return table(spark, sf_dir, "documents").select("doc_id", *passes.animation(F.col("text").cast("binary")))
+
+
+_WHOLE = f"w AS (SELECT image FROM pic GROUP BY image HAVING count(*) = {W * H})"
+
+
+def _ingested(spark, sf_dir):
+    """The gallery's whole pictures, blue and green exchanged, upside down, with mips down to 8 texels a side and alpha slices."""
+    pic = gallery(spark, sf_dir).drop("v")
+    whole = pic.join(pic.groupBy("image").count().where(F.col("count") == W * H).select("image"), "image", "left_semi")
+    return ingest.slices(whole, W, H, ingest.Preparation(swizzle=("r", "b", "g", "a"), flip=True, mips=True, smallest=8))
+
+
+@query(
+    "ingested_texels",
+    f"""WITH {_GALLERY}, {_WHOLE}, l0 AS (SELECT image, x, {H - 1} - y AS y, r::DOUBLE AS r, b::DOUBLE AS g, g::DOUBLE AS b, a::DOUBLE AS a FROM pic SEMI JOIN w USING (image)),
+l1 AS (SELECT image, x // 2 AS x, y // 2 AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(a) AS a FROM l0 GROUP BY 1, 2, 3),
+l2 AS (SELECT image, x // 2 AS x, y // 2 AS y, avg(r) AS r, avg(g) AS g, avg(b) AS b, avg(a) AS a FROM l1 GROUP BY 1, 2, 3),
+every AS (SELECT 0 AS level, 20 AS h, 20 AS wanted, * FROM l0 UNION ALL SELECT 1, 10, 12, * FROM l1 UNION ALL SELECT 2, 5, 8, * FROM l2),
+tall AS (SELECT * REPLACE (unnest(CASE WHEN y = h - 1 THEN range(y, wanted) ELSE [y::BIGINT] END) AS y) FROM every),
+k AS (SELECT image, level, x, y, floor(r + 0.5)::INT AS r, floor(g + 0.5)::INT AS g, floor(b + 0.5)::INT AS b, floor(a + 0.5)::INT AS a FROM tall)
+SELECT image, level, false AS alpha, x, y::INT AS y, r, g, b, 255 AS a FROM k UNION ALL SELECT image, level, true, x, y::INT, a, a, a, 255 FROM k""",
+)
+def ingested_texels(spark, sf_dir):
+    return _ingested(spark, sf_dir)[0]
+
+
+@query(
+    "ingested_slices",
+    f"""WITH {_GALLERY}, {_WHOLE}, s(slice_idx, level, alpha, orig_w, orig_h, w, h, nbx, nby, first_block) AS (VALUES (0, 0, false, 32, 20, 32, 20, 8, 5, 0), (1, 0, true, 32, 20, 32, 20, 8, 5, 40),
+  (2, 1, false, 16, 10, 16, 12, 4, 3, 80), (3, 1, true, 16, 10, 16, 12, 4, 3, 92), (4, 2, false, 8, 5, 8, 8, 2, 2, 104), (5, 2, true, 8, 5, 8, 8, 2, 2, 108))
+SELECT w.image, s.* FROM w, s""",
+)
+def ingested_slices(spark, sf_dir):
+    return _ingested(spark, sf_dir)[1]
