@@ -10,10 +10,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from texloom.functions.colors import perceptual_distance_wide
+
 #: Intensity modifiers of the ETC1 format, from the smallest to the largest table.
 ETC1_MODIFIERS = np.array(
     [[-8, -2, 2, 8], [-17, -5, 5, 17], [-29, -9, 9, 29], [-42, -13, 13, 42], [-60, -18, 18, 60], [-80, -24, 24, 80], [-106, -33, 33, 106], [-183, -47, 47, 183]]
@@ -277,12 +279,45 @@ def encode_etc1_solid(t: np.ndarray) -> np.ndarray:
     return out
 
 
+def encode_eac_a8(v: np.ndarray) -> np.ndarray:
+    """Alpha blocks: of every table, the multipliers about the one that spans the texels; the base starts at three places about
+    their middle and moves by the mean of what is left. The least squared error wins, the first of equal ones."""
+    v = v.astype(np.int64)
+    high, low = v.max(axis=1), v.min(axis=1)
+    best = np.full(len(v), 1 << 40)
+    found = np.zeros((3, len(v)), np.int64)
+    chosen = np.zeros(v.shape, np.int64)
+    for table, steps in enumerate(EAC_MODIFIERS):
+        span, ends = steps.max() - steps.min(), steps.max() + steps.min()
+        for near in (-2, -1, 0, 1):
+            mul = np.clip((2 * (high - low) + span) // (2 * span) + near, 1, 15)
+            for start in (-2, 0, 2):
+                base = np.clip((high + low - ends * mul + 1) // 2 + start * mul, 0, 255)
+                for _ in range(3):
+                    values = np.clip(base[:, None] + steps * mul[:, None], 0, 255)
+                    selectors = np.abs(v[:, :, None] - values[:, None]).argmin(axis=2)
+                    left = v - np.take_along_axis(values, selectors, axis=1)
+                    error = (left**2).sum(axis=1)
+                    better = error < best
+                    best = np.where(better, error, best)
+                    found = np.where(better, np.stack([base, mul, np.full(len(v), table)]), found)
+                    chosen = np.where(better[:, None], selectors, chosen)
+                    base = np.clip(base + (2 * left.sum(axis=1) + 16) // 32, 0, 255)
+    out = np.zeros((len(v), 8), np.uint8)
+    out[:, 0], out[:, 1] = found[0], found[1] << 4 | found[2]
+    bits = sum(chosen[:, x + 4 * y].astype(np.uint64) << np.uint64(45 - 3 * (y + 4 * x)) for y in range(4) for x in range(4))
+    for k in range(6):
+        out[:, 2 + k] = (bits >> np.uint64(40 - 8 * k)).astype(np.uint8)
+    return out
+
+
 ENCODERS: dict[str, Callable[[np.ndarray], np.ndarray]] = {
     "BC1": encode_bc1,
     "BC3": lambda t: np.concatenate([encode_bc4(t[:, :, 3]), encode_bc1(t)], axis=1),
     "BC4": lambda t: encode_bc4(t[:, :, 0]),
     "BC5": lambda t: np.concatenate([encode_bc4(t[:, :, 0]), encode_bc4(t[:, :, 1])], axis=1),
     "ETC1_SOLID": encode_etc1_solid,
+    "EAC_A8": lambda t: encode_eac_a8(t[:, :, 3]),
 }
 
 
@@ -322,6 +357,25 @@ def decode_blocks(df: DataFrame, block: str, fmt: str, name: str = "texels") ->
     return df.mapInArrow(run, schema)
 
 
+def block_error(df: DataFrame, block: str, texels: str, fmt: str, perceptual: bool = False, half: int | None = None, name: str = "error") -> DataFrame:
+    """Append the color error of a block against its texels (64 channel values): summed squared differences, or perceptual
+    distances. half: of ETC1 blocks only the first (0) or second (1) of the two halves that the block's flip bit gives."""
+    if half is not None and fmt != "ETC1":
+        raise ValueError("only ETC1 blocks have halves")
+    rows = decode_blocks(df, block, fmt, "__decoded")
+    flip = F.conv(F.hex(F.substring(block, 4, 1)), 16, 10).cast("int") % 2 == 1
+
+    def distance(i: Column) -> Column:
+        d = tuple(F.get(F.col(texels), i * 4 + c) - F.get(F.col("__decoded"), i * 4 + c) for c in range(3))
+        return (perceptual_distance_wide(d) if perceptual else d[0] * d[0] + d[1] * d[1] + d[2] * d[2]).cast("long")
+
+    def inside(i: Column) -> Column:
+        return F.lit(True) if half is None else F.when(flip, F.floor(i / 8) == half).otherwise(F.floor(i % 4 / 2) == half)
+
+    every = F.sequence(F.lit(0), F.lit(15))
+    return rows.withColumn(name, F.aggregate(every, F.lit(0).cast("long"), lambda s, i: s + F.when(inside(i), distance(i)).otherwise(0))).drop("__decoded")
+
+
 #: Bytes of texts that `decode_every` decodes at once.
 DECODE_BYTES = 1 << 20
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from texloom.operators import images, ingest, passes
+from texloom.operators import blockcodecs, images, ingest, passes
 from texloom.plans.carriers import frames, table
 from texloom.plans.gallery import _COARSE, _GALLERY, _HALF, H, W, _pair, gallery
 from texloom.registry import query
@@ -152,3 +152,25 @@ SELECT w.image, s.* FROM w, s""",
 )
 def ingested_slices(spark, sf_dir):
     return _ingested(spark, sf_dir)[1]
+
+
+@query("gallery_alpha_blocks")
+def gallery_alpha_blocks(spark, sf_dir):
+    """Alpha of every whole block of the gallery, encoded and decoded: largest and summed squared error."""
+    blocks = images.blockify(gallery(spark, sf_dir), ["image"], "x", "y", list("rgba")).where(F.size("texels") == 16)
+    flat = blocks.select("image", "bx", "by", F.flatten(F.transform("texels", lambda t: F.array(*[t[c].cast("int") for c in "rgba"]))).alias("texels"))
+    rows = blockcodecs.decode_blocks(blockcodecs.encode_blocks(flat, "texels", "EAC_A8"), "block", "EAC_A8", "again")
+    off = F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.get("texels", i * 4 + 3) - F.get("again", i * 4 + 3))
+    return rows.select("image", "bx", "by", F.array_max(F.transform(off, F.abs)).alias("largest"), F.aggregate(off, F.lit(0), lambda s, x: s + x * x).alias("error"))
+
+
+@query("gallery_solid_block_errors")
+def gallery_solid_block_errors(spark, sf_dir):
+    """Every whole block of the gallery as a block of one color: its error, by texels and to the eye, and that of each half."""
+    blocks = images.blockify(gallery(spark, sf_dir), ["image"], "x", "y", list("rgba")).where(F.size("texels") == 16)
+    flat = blocks.select("image", "bx", "by", F.flatten(F.transform("texels", lambda t: F.array(*[t[c].cast("int") for c in "rgba"]))).alias("texels"))
+    rows = blockcodecs.block_error(blockcodecs.encode_blocks(flat, "texels", "ETC1_SOLID"), "block", "texels", "ETC1")
+    rows = blockcodecs.block_error(rows, "block", "texels", "ETC1", perceptual=True, name="seen_error")
+    for half in (0, 1):
+        rows = blockcodecs.block_error(rows, "block", "texels", "ETC1", half=half, name=f"half_{half}")
+    return rows.drop("texels", "block")
