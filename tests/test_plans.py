@@ -53,6 +53,14 @@ def test_hamming_neighbors_of_all_ids(spark, tmp_path):
     assert len(found) == len(want) == 360 and {(r["vec_id"], r["rank"], r["pattern_id"], r["bits"]) for r in found} == want
 
 
+def test_hamming_neighbors_of_a_row_without_id(spark, tmp_path):
+    rows = [(0, signs(5)), (None, signs(5)), (3, signs(5)), (2, signs(4))]
+    found = run(spark, tmp_path, "hamming_neighbors", embeddings=(rows, "vec_id long, embedding array<float>"))
+    five = [(1, 0, 0), (2, 3, 0), (3, 2, 1)]
+    want = {0: five, None: five, 3: five, 2: [(1, 2, 0), (2, 0, 1), (3, 3, 1)]}
+    assert {(r["vec_id"], r["rank"], r["pattern_id"], r["bits"]) for r in found} == {(i, *x) for i, ranks in want.items() for x in ranks} and len(found) == 12
+
+
 def test_labels_without_an_early_code_keep_their_rows(spark, tmp_path):
     rows = [(1, 0, [0.0] * 64), (70, 0, [1.0] * 64), (71, 5, [1.0] * 64), (90, 5, [3.0] * 64), (91, None, [3.0] * 64)]
     found = run(spark, tmp_path, "nearest_codeword_of_parent", embeddings=(rows, "vec_id long, label int, embedding array<float>"))
