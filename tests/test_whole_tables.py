@@ -37,3 +37,23 @@ def test_whole_table(spark, sf_dir, name):
     want = sorted((tuple(near(x) for x in r) for r in found.fetchall()), key=repr)
     got = sorted((tuple(near(r[c]) for c in columns) for r in registry.queries()[name](spark, sf_dir).collect()), key=repr)
     assert got == want and got
+
+
+@pytest.mark.parametrize("name", ["causal_neighbors"])
+def test_lines_numbered_1_give_the_rows_of_the_registered_sql(spark, tmp_path, name):
+    """Quantities that are null beside others or have fractions, where the SQL's restriction takes nothing away."""
+    lines = [(65, 1, None), (65, 1, 4.0), (66, 1, 3.5), (67, 1, 4.5), (68, 1, 4.6), (129, 1, None), (130, 1, 2.4), (130, 1, 9.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    found = con.execute(registry.oracle_sql()[name])
+    columns = [c[0] for c in found.description]
+    got = [tuple(r[c] for c in columns) for r in registry.queries()[name](spark, str(tmp_path)).collect()]
+    assert sorted(got, key=repr) == sorted(found.fetchall(), key=repr) and got
+
+
+def test_lines_without_a_number_come_last(spark, tmp_path):
+    lines = [(65, None, 1.0), (65, 3, 6.0), (66, None, 7.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = registry.queries()["causal_neighbors"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in found) == [(1, 1, 2, 3), (2, 1, 3, 3)]
