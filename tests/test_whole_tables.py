@@ -39,7 +39,7 @@ def test_whole_table(spark, sf_dir, name):
     assert got == want and got
 
 
-@pytest.mark.parametrize("name", ["causal_neighbors", "previous_frame"])
+@pytest.mark.parametrize("name", ["causal_neighbors", "previous_frame", "combine_images"])
 def test_lines_numbered_1_give_the_rows_of_the_registered_sql(spark, tmp_path, name):
     """Quantities that are null beside others or have fractions, where the SQL's restriction takes nothing away."""
     lines = [(65, 1, None), (65, 1, 4.0), (66, 1, 3.5), (67, 1, 4.5), (68, 1, 4.6), (129, 1, None), (130, 1, 2.4), (130, 1, 9.0)]
