@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from texloom.operators import filters
 from texloom.operators.images import MOST_HALF, half_code
 
 
@@ -88,16 +89,11 @@ def directional_weights(angle: float, along: float, across: float) -> list[tuple
 
 
 def directional_blur(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h: int, angle: float, along: float, across: float) -> DataFrame:
-    """Blur along a direction with clamped borders: each place looks its neighbours up by equi-join, weighted sums.
+    """Blur along a direction with clamped borders, by whole pictures or strips of them (`filters`).
 
-    The kernel is a list in the row, a few hundred numbers at most; its size depends on the deviations alone.
+    The kernel is a list of a few hundred numbers at most; its size depends on the deviations alone.
     """
-    kernel = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"), F.lit(v).alias("v")) for dx, dy, v in directional_weights(angle, along, across)])
-    inside = lambda c, n: F.greatest(F.lit(0), F.least(F.lit(n - 1), c)).cast("int")
-    wanted = pixels.select(*keys, F.col("x").alias("__x"), F.col("y").alias("__y"), F.explode(kernel).alias("__k"))
-    places = wanted.groupBy(*keys, "__x", "__y", inside(F.col("__x") + F.col("__k.dx"), w).alias("x"), inside(F.col("__y") + F.col("__k.dy"), h).alias("y")).agg(F.sum("__k.v").alias("__v"))
-    sums = places.join(pixels, [*keys, "x", "y"]).groupBy(*keys, "__x", "__y").agg(*[F.sum(F.col(c) * F.col("__v")).alias(c) for c in channels])
-    return sums.withColumnsRenamed({"__x": "x", "__y": "y"})
+    return filters.weighted_neighbors(pixels, keys, channels, w, h, directional_weights(angle, along, across))
 
 
 def block_errors(pairs: DataFrame, keys: list[str], channels: list[str], weights: list[int]) -> DataFrame:
