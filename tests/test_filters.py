@@ -67,3 +67,22 @@ def test_directional_blur(odd, monkeypatch, unit):
     out = arithmetic.directional_blur(df, ["k"], ["v", "g"], W, H, 30.0, 1.0, 0.5)
     same(out, sums(parts))
     assert steps_of(out)["Join"] == steps_of(out)["Aggregate"] == 0
+
+
+@pytest.mark.parametrize("unit", [filters.UNIT, 40])
+def test_convolution(odd, monkeypatch, unit):
+    monkeypatch.setattr(filters, "UNIT", unit)
+    rows, df = odd
+    weights = images.gaussian_weights(5, 1.2)
+    part = [((r[0], r[1], r[2]), r[3:]) for r in rows if 0 <= r[1] < W and 0 <= r[2] < H]
+    for axis, n in ((1, W), (2, H)):
+        moved = []
+        for key, values in sums(part).items():
+            for to in range(n):
+                weight = sum(v for k, v in enumerate(weights) if min(max(to + k - 2, 0), n - 1) == key[axis])
+                if weight:
+                    moved.append(((*key[:axis], to, *key[axis + 1 :]), [None if v is None else v * weight for v in values]))
+        part = moved
+    out = images.convolve(df, ["k"], ["v", "g"], W, H, weights)
+    same(out, sums(part))
+    assert steps_of(out)["Join"] == steps_of(out)["Aggregate"] == 0

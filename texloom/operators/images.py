@@ -1,4 +1,4 @@
-"""Pixel tables: (keys, x, y, channels). Geometry is arithmetic on coordinates; neighbourhoods are joins on them."""
+"""Pixel tables: (keys, x, y, channels). Geometry is arithmetic on coordinates; neighbourhoods are linear filters or joins on them."""
 
 from __future__ import annotations
 
@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from texloom.operators import filters
+
 
 def swirl(spark: SparkSession, w: int, h: int) -> DataFrame:
     """A procedural picture (x, y, r, g, b, a) of 8-bit channels, made by the engine."""
@@ -183,10 +185,10 @@ def gaussian_weights(width: int, sigma: float) -> list[float]:
 
 
 def convolve(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h: int, weights: list[float]) -> DataFrame:
-    """Separable filter with clamped borders. Each pixel explodes to the places that it reaches and the parts are summed."""
+    """Separable filter with clamped borders, by whole pictures or strips of them (`filters`)."""
     _check_sides(w, h, len(weights))
-    half, out = len(weights) // 2, pixels
-    for axis, n in (("x", w), ("y", h)):
+    half, axes = len(weights) // 2, []
+    for n in (w, h):
         rows: list[tuple[int, int, float]] = []
         for i in range(n):
             found: dict[int, float] = {}
@@ -194,10 +196,8 @@ def convolve(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h:
                 j = min(max(i + k - half, 0), n - 1)
                 found[j] = found.get(j, 0.0) + weight
             rows += [(i, j, v) for j, v in found.items()]
-        table = pixels.sparkSession.createDataFrame(rows, f"__to int, {axis} int, __weight double")
-        other = "y" if axis == "x" else "x"
-        out = out.join(F.broadcast(table), axis).groupBy(*keys, F.col("__to").alias(axis), other).agg(*[F.sum(F.col(c) * F.col("__weight")).alias(c) for c in channels])
-    return out.select(*keys, "x", "y", *channels)
+        axes.append(filters.axis(n, n, rows))
+    return filters.separable(pixels, keys, channels, w, h, *axes)
 
 
 #: Width and deviation of the window and the two stabilizers of the structural similarity.
