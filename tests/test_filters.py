@@ -86,3 +86,17 @@ def test_convolution(odd, monkeypatch, unit):
     out = images.convolve(df, ["k"], ["v", "g"], W, H, weights)
     same(out, sums(part))
     assert steps_of(out)["Join"] == steps_of(out)["Aggregate"] == 0
+
+
+def test_mips_in_one_pass(odd, monkeypatch):
+    _, df = odd
+    out = images.mip_chain(df, ["v", "g"], W, H, "box", ["k"])
+    found = rows_of(out)
+    plan = steps_of(out)
+    assert plan["Join"] == plan["Aggregate"] == plan["Union"] == 0 and plan["MapInArrow"] == 2
+    one = rows_of(images.resample(df, ["k"], ["v", "g"], W, H, W >> 1, H >> 1, "box"))
+    assert [(r[0], *r[2:]) for r in found if r[1] == 1] == one
+    assert len([r for r in found if r[1] == 0]) == df.count() and {r[1] for r in found} == {0, 1, 2, 3}
+    assert rows_of(images.mip_chain(df, ["v", "g"], W, H, "box", ["k"], 2)) == [r for r in found if r[1] < 2]
+    monkeypatch.setattr(filters, "UNIT", 40)
+    assert rows_of(images.mip_chain(df, ["v", "g"], W, H, "box", ["k"])) == found

@@ -155,27 +155,30 @@ def contributors(n: int, m: int, name: str, scale: float = 1.0, boundary: str =
 
 
 def resample(pixels: DataFrame, keys: list[str], channels: list[str], w: int, h: int, new_w: int, new_h: int, name: str = "lanczos4", boundary: str = "clamp", scale: float = 1.0) -> DataFrame:
-    """Separable resampling: joins with the two contributor tables (a few numbers a column or row of the picture), partial sums."""
+    """Separable resampling along x and then y, by whole pictures or strips of them (`filters`)."""
+    return filters.separable(pixels, keys, channels, w, h, *_axes(w, h, new_w, new_h, name, boundary, scale))
+
+
+def _axes(w: int, h: int, new_w: int, new_h: int, name: str, boundary: str = "clamp", scale: float = 1.0) -> tuple[filters.Axis, filters.Axis]:
     _check_sides(w, h, new_w, new_h)
-    spark = pixels.sparkSession
-    out = pixels
-    for axis, n, m in (("x", w, new_w), ("y", h, new_h)):
-        table = spark.createDataFrame(contributors(n, m, name, scale, boundary), f"__to int, {axis} int, __weight double")
-        other = "y" if axis == "x" else "x"
-        sums = [F.sum(F.col(c) * F.col("__weight")).alias(c) for c in channels]
-        out = out.join(F.broadcast(table), axis).groupBy(*keys, F.col("__to").alias(axis), other).agg(*sums)
-    return out.select(*keys, "x", "y", *channels)
-
-
-def mip_chain(pixels: DataFrame, channels: list[str], w: int, h: int, name: str = "box", keys: list[str] | None = None) -> DataFrame:
-    """(keys, level, x, y, channels): each level from the one before, down to 1 x 1."""
+    return tuple(filters.axis(n, m, contributors(n, m, name, scale, boundary)) for n, m in ((w, new_w), (h, new_h)))
+
+
+def mip_chain(pixels: DataFrame, channels: list[str], w: int, h: int, name: str = "box", keys: list[str] | None = None, levels: int | None = None) -> DataFrame:
+    """(keys, level, x, y, channels): each level from the one before, down to 1 x 1 or for so many levels.
+
+    A picture that is a unit of `filters` gives all its levels in one pass."""
     keys = keys or []
-    level, out, current = 0, pixels.select(*keys, F.lit(0).alias("level"), "x", "y", *[F.col(c).cast("double").alias(c) for c in channels]), pixels
-    while w > 1 or h > 1:
-        nw, nh, level = max(w >> 1, 1), max(h >> 1, 1), level + 1
-        current = resample(current, keys, channels, w, h, nw, nh, name)
+    sizes = [(w, h)]
+    while max(sizes[-1]) > 1 and len(sizes) != levels:
+        sizes.append(tuple(max(n >> 1, 1) for n in sizes[-1]))
+    steps = [_axes(*old, *new, name) for old, new in zip(sizes, sizes[1:])]
+    if steps and filters.fits(w, h, *steps[0]):
+        return filters.filtered(pixels, keys, channels, w, h, steps, "level")
+    out, current = pixels.select(*keys, F.lit(0).alias("level"), "x", "y", *[F.col(c).cast("double").alias(c) for c in channels]), pixels
+    for level, ((w, h), step) in enumerate(zip(sizes, steps, strict=False), 1):
+        current = filters.separable(current, keys, channels, w, h, *step)
         out = out.unionByName(current.select(*keys, F.lit(level).alias("level"), "x", "y", *channels))
-        w, h = nw, nh
     return out
 
 

@@ -76,7 +76,7 @@ def gallery_mips(spark, sf_dir):
     """The first three levels of every picture with all its texels (the last one of the table lacks some)."""
     pic = gallery(spark, sf_dir)
     whole = pic.join(pic.groupBy("image").count().where(F.col("count") == W * H).select("image"), "image", "left_semi")
-    return images.mip_chain(whole, ["r"], W, H, "box", ["image"]).where("level <= 2").select("image", "level", "x", "y", F.round("r", 6).alias("r"))
+    return images.mip_chain(whole, ["r"], W, H, "box", ["image"], 3).select("image", "level", "x", "y", F.round("r", 6).alias("r"))
 
 
 _DIFF = "d AS (SELECT pic.image, u.channel, u.p::DOUBLE AS p, u.q::DOUBLE AS q FROM pic JOIN c USING (image, x, y), LATERAL (VALUES ('r', pic.r, c.r), ('g', pic.g, c.g)) u(channel, p, q))"
