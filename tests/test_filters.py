@@ -100,3 +100,19 @@ def test_mips_in_one_pass(odd, monkeypatch):
     assert rows_of(images.mip_chain(df, ["v", "g"], W, H, "box", ["k"], 2)) == [r for r in found if r[1] < 2]
     monkeypatch.setattr(filters, "UNIT", 40)
     assert rows_of(images.mip_chain(df, ["v", "g"], W, H, "box", ["k"])) == found
+
+
+def _slices(spark, parts=True):
+    df = spark.range(2 * 6 * 5).select(*[F.expr(e) for e in ("id div 30 image", "int(id % 6) x", "int(id % 30 div 6) y", "id % 251 r", "id * 7 % 256 g", "id * 5 % 256 b", "id * 3 % 256 a")])
+    return ingest.slices(df, 6, 5, ingest.Preparation(mips=True, smallest=2, split_alpha=parts))
+
+
+@pytest.mark.parametrize("parts", [True, False])
+def test_texels_of_all_slices_in_one_pass(spark, parts):
+    texels, _ = _slices(spark, parts)
+    # pass and plan: once each in the physical and in the optimized plan; the split by pictures' own alpha reads twice
+    assert steps_of(texels)["MapInArrow"] == (2 if parts else 4) and steps_of(texels)["Union"] == 0
+    found = {}
+    for r in texels.collect():
+        found.setdefault((r["level"], r["alpha"]), []).append(r)
+    assert {k: len(v) for k, v in found.items()} == ({(n, a): 2 * t for n, t in ((0, 64), (1, 16), (2, 16)) for a in (False, True)} if parts else {(0, True): 128, (1, True): 32, (2, True): 32})

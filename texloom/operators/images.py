@@ -38,9 +38,10 @@ def unblock(blocks: DataFrame, keys: list[str], channels: list[str], w: int, h:
     return out.where((F.col("x") < w) & (F.col("y") < h))
 
 
-def pad(pixels: DataFrame, keys: list[str], w: int, h: int, new_w: int, new_h: int) -> DataFrame:
-    """Extend to a larger size by repeating the border: each border pixel explodes to the places that it covers."""
-    reach = lambda c, n, new: F.when(F.col(c) == n - 1, F.sequence(F.lit(n - 1), F.lit(max(n, new) - 1))).otherwise(F.array(F.col(c)))
+def pad(pixels: DataFrame, keys: list[str], w: int | Column, h: int | Column, new_w: int | Column, new_h: int | Column) -> DataFrame:
+    """Extend to a larger size by repeating the border: each border pixel explodes to the places that it covers. Sizes may be columns."""
+    w, h, new_w, new_h = [F.lit(n) if isinstance(n, int) else n for n in (w, h, new_w, new_h)]
+    reach = lambda c, n, new: F.when(F.col(c) == n - 1, F.sequence(n - 1, F.greatest(n, new) - 1)).otherwise(F.array(F.col(c)))
     others = [c for c in pixels.columns if c not in ("x", "y")]
     wide = pixels.where((F.col("x") < new_w) & (F.col("y") < new_h)).withColumn("__x", F.explode(reach("x", w, new_w)))
     tall = wide.withColumn("__y", F.explode(reach("y", h, new_h)))

@@ -65,21 +65,22 @@ def slices(pixels: DataFrame, w: int, h: int, how: Preparation, alpha: DataFrame
         w, h = how.size
     sizes = level_sizes(w, h, how.smallest) if how.mips else [(w, h)]
     if how.mips:
-        rows = images.mip_chain(rows, CHANNELS, w, h, how.kernel, ["image"]).where(F.col("level") < len(sizes))
+        rows = images.mip_chain(rows, CHANNELS, w, h, how.kernel, ["image"], len(sizes))
     else:
         rows = rows.withColumn("level", F.lit(0))
     rows = rows.select("image", "level", "x", "y", *[_byte(F.col(c)).alias(c) for c in CHANNELS])
     parts = any_alpha and how.split_alpha
     if parts:
-        gray = rows.withColumns({c: F.col("a") for c in "rgb"})
-        rows = rows.withColumn("alpha", F.lit(False)).unionByName(gray.withColumn("alpha", F.lit(True))).withColumn("a", F.lit(255))
+        both = rows.withColumn("alpha", F.explode(F.array(F.lit(False), F.lit(True))))
+        rows = both.withColumns({c: F.when(F.col("alpha"), F.col("a")).otherwise(F.col(c)) for c in "rgb"}).withColumn("a", F.lit(255))
     else:
         rows = rows.withColumn("alpha", F.lit(False))
     whole = lambda n: -(-n // how.block) * how.block
-    padded, found, first = None, [], 0
+    of_level = lambda values: F.get(F.array(*[F.lit(v) for v in values]), F.col("level"))
+    widths, heights = zip(*sizes, strict=True)
+    padded = images.pad(rows, ["image", "level", "alpha"], *[of_level(n) for n in (widths, heights, [whole(n) for n in widths], [whole(n) for n in heights])])
+    found, first = [], 0
     for level, (lw, lh) in enumerate(sizes):
-        own = images.pad(rows.where(F.col("level") == level), ["image", "level", "alpha"], lw, lh, whole(lw), whole(lh))
-        padded = own if padded is None else padded.unionByName(own)
         for flag in (False, True) if parts else (False,):
             nbx, nby = whole(lw) // how.block, whole(lh) // how.block
             values = {"slice_idx": len(found), "level": level, "alpha": flag, "orig_w": lw, "orig_h": lh, "w": whole(lw), "h": whole(lh), "nbx": nbx, "nby": nby, "first_block": first}
