@@ -116,3 +116,8 @@ def test_texels_of_all_slices_in_one_pass(spark, parts):
     for r in texels.collect():
         found.setdefault((r["level"], r["alpha"]), []).append(r)
     assert {k: len(v) for k, v in found.items()} == ({(n, a): 2 * t for n, t in ((0, 64), (1, 16), (2, 16)) for a in (False, True)} if parts else {(0, True): 128, (1, True): 32, (2, True): 32})
+
+
+def test_slice_table_without_a_filter(spark):
+    _, table = _slices(spark)
+    assert table.count() == 12 and steps_of(table)["MapInArrow"] == 0

@@ -64,6 +64,7 @@ def slices(pixels: DataFrame, w: int, h: int, how: Preparation, alpha: DataFrame
         rows = images.resample(rows, ["image"], CHANNELS, w, h, *how.size, how.kernel).withColumns({c: _byte(F.col(c)) for c in CHANNELS})
         w, h = how.size
     sizes = level_sizes(w, h, how.smallest) if how.mips else [(w, h)]
+    images_found = rows.select("image").distinct()
     if how.mips:
         rows = images.mip_chain(rows, CHANNELS, w, h, how.kernel, ["image"], len(sizes))
     else:
@@ -86,7 +87,7 @@ def slices(pixels: DataFrame, w: int, h: int, how: Preparation, alpha: DataFrame
             values = {"slice_idx": len(found), "level": level, "alpha": flag, "orig_w": lw, "orig_h": lh, "w": whole(lw), "h": whole(lh), "nbx": nbx, "nby": nby, "first_block": first}
             found.append(F.struct(*[F.lit(v).alias(k) for k, v in values.items()]))
             first += nbx * nby
-    table = rows.select("image").distinct().select("image", F.inline(F.array(*found)))
+    table = images_found.select("image", F.inline(F.array(*found)))
     if any_alpha and not parts:
         has = padded.groupBy("image", "level").agg(F.bool_or(F.col("a") < 255).alias("__has"))
         padded = padded.join(has, ["image", "level"]).withColumn("alpha", F.col("__has")).drop("__has")
